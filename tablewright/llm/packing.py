@@ -11,8 +11,11 @@ slots are assigned by arithmetic, without ordering the corpus.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,52 +27,69 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import keyed_texts, materialize, public_id
 
 SEQUENCE, UNIT = 2048, 8
-CACHE_WORDS = 300_000
 MAX_COLUMNS = 2_000
 
 
 class WordIds:
-    """Ids of a word-level tokenizer file through a bounded cache of blank-delimited chunks.
-
-    The tokenizer drops white space and treats what lies between blanks on its own
-    (normalisation never composes across a space, special strings hold none), so the
-    ids of a text are those of its chunks in order.
+    """Ids of a lower-casing word-level byte BPE file, as its library gives them.
+
+    The library merges listed pairs in order, the faster merger used here any pair whose
+    bytes are a token, in order of tokens. Both agree if each token is what exactly one
+    merge makes and every token encodes to itself: at any time the pieces between two
+    token ends are those of that stretch on its own, so the only way left to a token is
+    its listed pair. Both conditions are checked when the file is loaded; if one fails,
+    and for texts outside ASCII and Latin letters, the library does the work.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    _END = "\x01"
+    _SIMPLE = re.compile("[\x00\x02-\x7fÀ-ÖØ-öø-ÿ]*")
+    _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._cache: dict[bytes, bytes] = {}
-        self._most = cache_words
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self._cache]
-        if len(self._cache) + len(new) > self._most:
-            self._cache.clear()
-            new = list(chunks)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for chunk, got in zip(part, self._tok.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self._cache[chunk] = np.array(got.ids, "<u4").tobytes()
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, in order."""
-        held: list[list[bytes]] = []
-        seen: set[bytes] = set()
-        for text in texts:
-            held.append(text.encode().split())
-            seen.update(held[-1])
-            if len(seen) > self._most // 2:
-                yield from self._flush(held, seen)
-                held, seen = [], set()
-        yield from self._flush(held, seen)
-
-    def _flush(self, held: list[list[bytes]], seen: set[bytes]) -> Iterator[bytes]:
-        self.learn(seen)
-        for chunks in held:
-            yield b"".join(map(self._cache.__getitem__, chunks))
+        spec = json.loads(self._tok.to_str())
+        vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+        self._fast = None
+        if [vocabulary.get(t) for t in made] == list(range(512, 512 + len(made))) and self._self_coded(spec, vocabulary):
+            letters = _byte_letters()
+            ranks = {self._END.encode(): len(vocabulary)}
+            for token, i in vocabulary.items():
+                body = token.removesuffix("</w>") if len(token) > 4 else token
+                if set(body) <= letters.keys() and not (data := bytes(letters[c] for c in body)).startswith(b"\x01"):
+                    ranks[data + self._END.encode() * (body != token)] = i
+            self._fast = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def _self_coded(spec: dict, vocabulary: dict[str, int]) -> bool:
+        from tokenizers import Tokenizer
+
+        bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        inner = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
+        last = Tokenizer.from_str(json.dumps(bare))
+        special = {t["content"] for t in spec["added_tokens"]}
+        plain = [t for t in vocabulary if t not in special and not (t.endswith("</w>") and len(t) > 4)]
+        ends = [t for t in vocabulary if t not in special and t.endswith("</w>") and len(t) > 4]
+        same = lambda tok, texts, tokens: all(e.ids == [vocabulary[t]] for t, e in zip(tokens, tok.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+        return same(inner, plain, plain) and same(last, [t[:-4] for t in ends], ends)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self._fast is None or "<|" in text or not self._SIMPLE.fullmatch(text):
+            return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
+        words = self._WORD.findall(text.lower())
+        return array("I", self._fast.encode_ordinary(self._END.join([*words, ""]))).tobytes()
+
+
+def _byte_letters() -> dict[str, int]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
 @functools.lru_cache(maxsize=1)
@@ -89,8 +109,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int
         made = np.zeros(sequence // unit + 2, np.int64)
         for batch in batches:
             doc, start, length, crc, total, cls, nth = [], [], [], [], [], [], []
-            for d, ids in zip(batch.column("doc").to_pylist(), coder.encode_all(batch.column("text").to_pylist()), strict=True):
-                ids += last
+            for d, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+                ids = coder.encode(text.as_py()) + last
                 n = len(ids) // 4
                 for a in range(0, n, sequence):
                     size = min(sequence, n - a)
