@@ -45,13 +45,12 @@ def terms_of(word: str) -> list[str]:
 
 def form_votes(text: str, words: set[str], hits: int) -> list[int]:
     """Votes of the pattern voters: 1 toxic, 0 clean, -1 no opinion."""
-    letters = sum(map(str.isalpha, text[:]))
-    upper = sum(map(str.isupper, text))
+    upper = sum(map(str.isupper, text)) if hits else 0
     return [
         1 if hits >= 2 else -1,
         0 if hits == 0 else -1,
         1 if hits >= 4 else -1,
-        1 if letters > 40 and upper > 0.6 * letters and hits else -1,
+        1 if upper > 40 and upper > 0.5 * len(text) else -1,
         1 if text.count("!") > 10 and hits else -1,
         0 if len(words) > 400 and hits <= 1 else -1,
     ]
@@ -105,8 +104,8 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
     the posterior, marks correlated voters, and each voter's evidence is divided by one
     plus the sum of its correlations.
     """
-    one, zero = votes == 1, votes == 0
-    spoke = one | zero
+    one, zero = (votes == 1).astype(np.float32), (votes == 0).astype(np.float32)
+    spoke = one + zero
     q, weight = start.astype(float), np.ones(votes.shape[1])
     for step in range(rounds):
         # chance of each vote under both classes, smoothed
@@ -114,7 +113,7 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
         p0 = np.stack([((1 - q) @ one + 0.5) / ((1 - q).sum() + 1), ((1 - q) @ zero + 0.5) / ((1 - q).sum() + 1)])
         log1, log0 = np.log(p1), np.log(p0)
         silent = np.log(np.maximum(1 - p1.sum(axis=0), 1e-6)) - np.log(np.maximum(1 - p0.sum(axis=0), 1e-6))
-        z = one @ (weight * (log1[0] - log0[0])) + zero @ (weight * (log1[1] - log0[1])) + (~spoke) @ (weight * silent)
+        z = one @ (weight * (log1[0] - log0[0])) + zero @ (weight * (log1[1] - log0[1])) + (1 - spoke) @ (weight * silent)
         z += np.log(prior / (1 - prior))
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if step == 4:
@@ -130,12 +129,12 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
 
 def train_linear(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, rounds: int = 300, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by full-batch gradients with momentum."""
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b = np.zeros(x.shape[1], np.float32), 0.0
     vw, vb = np.zeros_like(w), 0.0
     balance = np.where(target > 0.5, 0.5 / max(target.mean(), 1e-3), 0.5 / max(1 - target.mean(), 1e-3))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g = (p - target) * balance / len(target)
+        g = ((p - target) * balance / len(target)).astype(np.float32)
         vw = 0.9 * vw - rate * (x.T @ g + l2 * w / 10)
         vb = 0.9 * vb - rate * g.sum()
         w, b = w + vw, b + vb
@@ -227,3 +226,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     scored = score_texts(docs, learn(docs, labels, rows, id_col), id_col, text_col)
     out = scored.select(public_id("doc").alias("doc_id"), "score")
     return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns. Row-local: no shuffle."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
+        for batch in batches:
+            keep = [score(t.as_py() or "") < threshold for t in batch.column(text_col)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, docs.schema)
