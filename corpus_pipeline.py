@@ -1,10 +1,78 @@
-"""A corpus from raw documents to packed sequences: five stages, each written and read again."""
+"""A corpus from raw documents to packed sequences, stage by stage.
+
+Every stage takes all that its predecessor kept, written as Parquet and read again,
+and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewright.llm import common, line_dedup, minhash_dedup, packing, substring_dedup, toxicity
+
+#: Which columns a document has, whatever the stage.
+COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    have = {c.lower() for c in docs.columns}
+    return docs.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with the id and content key that operators use for rows."""
+    docs = _columns(docs)
+    doc = F.coalesce("doc_id", F.lit(common.NULL_ID))
+    return docs.withColumn("_doc", doc).withColumn("_rk", F.xxhash64("_doc", F.coalesce("text", F.lit(""))))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    docs = _columns(docs)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that many share."""
+    return line_dedup.with_lines_dropped(_columns(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id."""
+    docs = _columns(docs)
+    found = minhash_dedup.near_duplicates(docs)
+    # one row of an id that stands for its group; exact repeats of it go too
+    kept = found.where("kept").groupBy(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("_doc")).agg(F.min("rk").alias("_rk"))
+    rows = _keyed(docs).join(kept.hint("shuffle_hash"), ["_doc", "_rk"], "left_semi")
+    return rows.dropDuplicates(["_doc", "_rk"]).select(*COLUMNS) if _repeats(found) else rows.select(*COLUMNS)
+
+
+def _repeats(found: DataFrame) -> bool:
+    """Whether any row occurs twice with the same id and text."""
+    return not found.groupBy("doc_id", "rk").count().where("count > 1").limit(1).isEmpty()
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that earlier documents hold."""
+    return substring_dedup.with_passages_removed(_columns(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences for training."""
+    return packing.pack(_columns(docs), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_copies), ("substring_dedup", drop_passages), ("packing", pack_sequences)]
+
+#: A trained classifier and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
