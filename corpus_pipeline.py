@@ -18,14 +18,8 @@ COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "stri
 
 def _columns(docs: DataFrame) -> DataFrame:
     have = {c.lower() for c in docs.columns}
-    return docs.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with the id and content key that operators use for rows."""
-    docs = _columns(docs)
-    doc = F.coalesce("doc_id", F.lit(common.NULL_ID))
-    return docs.withColumn("_doc", doc).withColumn("_rk", F.xxhash64("_doc", F.coalesce("text", F.lit(""))))
+    known = common.pick(docs, **{c: c for c in COLUMNS if c in have})
+    return known.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,18 +35,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
+    """One document of each group of near copies, that with the smallest id; all without words."""
     docs = _columns(docs)
-    found = minhash_dedup.near_duplicates(docs)
-    # one row of an id that stands for its group; exact repeats of it go too
-    kept = found.where("kept").groupBy(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("_doc")).agg(F.min("rk").alias("_rk"))
-    rows = _keyed(docs).join(kept.hint("shuffle_hash"), ["_doc", "_rk"], "left_semi")
-    return rows.dropDuplicates(["_doc", "_rk"]).select(*COLUMNS) if _repeats(found) else rows.select(*COLUMNS)
-
-
-def _repeats(found: DataFrame) -> bool:
-    """Whether any row occurs twice with the same id and text."""
-    return not found.groupBy("doc_id", "rk").count().where("count > 1").limit(1).isEmpty()
+    found = minhash_dedup.near_duplicates(docs).select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("_doc"), F.col("rk").alias("_rk"), "root")
+    found = common.materialize(found, "near-copies")
+    grouped = found.where("root is not null")
+    first = grouped.groupBy("root").agg(F.min(F.struct("_doc", "_rk")).alias("f"), F.count(F.lit(1)).alias("n"))
+    kept = first.select("f._doc", "f._rk").unionByName(found.where("root is null").select("_doc", "_rk").distinct())
+    rows = common.row_keys(docs, F.col("doc_id"), F.col("text")).join(kept.hint("shuffle_hash"), ["_doc", "_rk"], "left_semi")
+    # rows that repeat an id and a text are one key: only then is one of them to be chosen
+    twice = grouped.groupBy("_doc", "_rk").count().where("count > 1").select("_doc", "_rk")
+    if not twice.isEmpty():
+        again = rows.join(twice, ["_doc", "_rk"], "left_semi").dropDuplicates(["_doc", "_rk"])
+        rows = rows.join(twice, ["_doc", "_rk"], "left_anti").unionByName(again)
+    return rows.select(*COLUMNS)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
