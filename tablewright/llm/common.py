@@ -60,6 +60,37 @@ def clear_scratch() -> None:
             return
 
 
+def position(df: DataFrame, name: str) -> int:
+    """The column of that name: its exact spelling first, then any other case."""
+    names = df.columns
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1 ...: names that clash or hold dots do no harm."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """Only the named columns under new names, whatever other columns there are."""
+    at = {new: position(df, old) for new, old in columns.items()}
+    return numbered(df).select(*[F.col(f"c{k}").alias(new) for new, k in at.items()])
+
+
+def row_keys(df: DataFrame, doc: Column, text: Column) -> DataFrame:
+    """``df`` with the columns _doc and _rk, as keyed_texts() makes doc and rk."""
+    df = df.withColumn("_doc", F.coalesce(doc.cast("long"), F.lit(NULL_ID)))
+    return df.withColumn("_rk", F.xxhash64("_doc", F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def with_lengths(rows: DataFrame, docs: DataFrame, text_at: int, chars_col: str) -> DataFrame:
+    """``rows`` (the numbered columns of ``docs``, texts changed) under the old names, lengths counted anew."""
+    if any(n.lower() == chars_col.lower() for n in docs.columns):
+        k = position(docs, chars_col)
+        rows = rows.withColumn(f"c{k}", F.char_length(f"c{text_at}").cast(docs.schema[k].dataType))
+    return rows.toDF(*docs.columns)
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_text: bool = True) -> DataFrame:
     """(doc, rk, text): only what an operator needs, whatever other columns there are.
 
@@ -67,10 +98,11 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row's content, so rows that repeat an id with another text are kept apart and
     exact repeats share one decision. A null text becomes empty if ``null_text``.
     """
-    text = F.col(f"`{text_col}`").cast("string")
+    text = F.col("text").cast("string")
     text = F.coalesce(text, F.lit("")) if null_text else text
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
-    return docs.select(doc.alias("doc"), text.alias("text")).select("doc", F.xxhash64("doc", "text").alias("rk"), "text")
+    doc = F.coalesce(F.col("doc").cast("long"), F.lit(NULL_ID))
+    rows = pick(docs, doc=id_col, text=text_col).select(doc.alias("doc"), text.alias("text"))
+    return rows.select("doc", F.xxhash64("doc", "text").alias("rk"), "text")
 
 
 def public_id(col: str | Column) -> Column:

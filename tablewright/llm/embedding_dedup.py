@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NULL_ID, connected_components, materialize, public_id
+from tablewright.llm.common import NULL_ID, connected_components, materialize, pick, public_id
 from tablewright.llm.minhash_dedup import Forest, group_stream
 
 THRESHOLD = 0.98
@@ -126,9 +126,10 @@ def embedding_duplicates(
     and empty vectors and those with null or non-finite components link with nothing.
     Repeated ids are vectors of their own; a null id is smaller than any other.
     """
-    vec = F.transform(F.col(f"`{vec_col}`"), lambda v: v.cast("double"))
+    vec = F.transform(F.col("vec"), lambda v: v.cast("double"))
     whole = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
-    rows = vectors.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("vec_id"), vec.alias("vec"), F.col(f"`{label_col}`").cast("long").alias("label"))
+    rows = pick(vectors, vec_id=id_col, vec=vec_col, label=label_col)
+    rows = rows.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec_id"), vec.alias("vec"), F.col("label").cast("long").alias("label"))
     usable = F.col("label").isNotNull() & F.col("vec").isNotNull() & whole & F.exists("vec", lambda v: v != 0)
     rows = materialize(rows.withColumn("usable", F.coalesce(usable, F.lit(False))), "vectors")
     good = rows.where("usable")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NULL_ID, public_id
+from tablewright.llm.common import NULL_ID, pick, public_id
 
 K, SHINGLE = 128, 5
 BUCKET_BITS = 8
@@ -95,7 +95,8 @@ def next_lower(ids: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
 def fingerprint_documents(docs: DataFrame, k: int = K, words: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sketch, n_shingles) of every row; equal texts have equal sketches, null counts as empty."""
     s = F.col("sketch")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), sketch(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), k, words).alias("sketch"))
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    rows = rows.select(F.col("doc_id").cast("long"), sketch(F.coalesce(F.col("text").cast("string"), F.lit("")), k, words).alias("sketch"))
     return rows.withColumn("n_shingles", distinct_shingles(s, k))
 
 
@@ -108,9 +109,9 @@ def edited_neighbours(docs: DataFrame, k: int = K, words: int = SHINGLE, bits: i
     of each bucket is looked up elsewhere. Repeated ids follow each other in text order;
     null ids come after all others; a lone row is its own neighbour.
     """
-    rows = docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+    rows = pick(docs, doc=id_col, text=text_col).select(
+        F.coalesce(F.col("doc").cast("long"), F.lit(NULL_ID)).alias("doc"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     rows = rows.withColumn("b", F.shiftright("doc", bits))
     w = Window.partitionBy("b").orderBy(F.col("doc").desc(), "text")

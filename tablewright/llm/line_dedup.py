@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NULL_ID, keyed_texts, materialize, public_id
+from tablewright.llm.common import keyed_texts, materialize, numbered, position, public_id, row_keys, with_lengths
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -225,17 +225,16 @@ def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null text stays null. Rows that lose no line come back as they were.
     """
-    names, types = docs.columns, dict(docs.dtypes)
+    at, id_at = position(docs, text_col), position(docs, id_col)
     maps = keep_bitmaps(docs, id_col, text_col, **how).select(F.col("doc").alias("_doc"), F.col("rk").alias("_rk"), F.col("keep").alias("_keep"))
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
-    rows = docs.withColumn("_doc", doc).withColumn("_rk", F.xxhash64("_doc", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    rows = rows.join(maps.hint("shuffle_hash"), ["_doc", "_rk"], "left").select(*[F.col(f"`{c}`") for c in names], "_keep")
+    rows = numbered(docs)
+    names = rows.columns
+    keyed = row_keys(rows, F.col(f"c{id_at}"), F.col(f"c{at}"))
+    marked = keyed.join(maps.hint("shuffle_hash"), ["_doc", "_rk"], "left").select(*names, "_keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() if k.as_py() is None else apply_bitmap(t.as_py() or "", k.as_py())[0] for t, k in zip(batch.column(text_col), batch.column("_keep"), strict=True)]
-            columns = {c: batch.column(c) for c in names} | {text_col: pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+            texts = [t.as_py() if k.as_py() is None else apply_bitmap(t.as_py() or "", k.as_py())[0] for t, k in zip(batch.column(f"c{at}"), batch.column("_keep"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(n) for k, n in enumerate(names)], names)
 
-    out = rows.mapInArrow(run, docs.schema)
-    return out.withColumn(chars_col, F.char_length(F.col(f"`{text_col}`")).cast(types[chars_col])) if chars_col in names else out
+    return with_lengths(marked.mapInArrow(run, rows.schema), docs, at, chars_col)

@@ -249,12 +249,13 @@ def near_duplicates(
     block_docs: int = BLOCK_DOCS,
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """(doc_id, rk, n_shingles, component_id, kept): a row for each row of ``docs``.
+    """(doc_id, rk, n_shingles, component_id, kept, root): a row for each row of ``docs``.
 
-    ``component_id`` is the smallest id reachable over links. Rows without words link
-    with nothing, not even each other. A null id counts as smaller than any other and is
-    given back as null. Rows that repeat an id keep their own sets; exact repeats are one
-    class and all kept or all not, so callers who need one row also take ``rk``.
+    ``component_id`` is the smallest id reachable over links, ``root`` names the
+    component itself. Rows without words link with nothing, not even each other, and
+    have no root. A null id counts as smaller than any other and is given back as null.
+    Rows that repeat an id keep their own sets; exact repeats are all kept or all not,
+    so callers who want one row of a component take the least (doc_id, rk) of its root.
     """
     keyed = keyed_texts(docs, id_col, text_col)
     signed = materialize(keyed.mapInArrow(_sign(words, coordinates), "doc long, rk long, cls long, n_shingles long, sig array<int>"), "signed")
@@ -296,4 +297,4 @@ def near_duplicates(
     rooted = signed.select("doc", "rk", "cls", "n_shingles").join(whole, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     out = rooted.join(least, "root", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc")))
-    return out.select(public_id("doc").alias("doc_id"), "rk", "n_shingles", public_id("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return out.select(public_id("doc").alias("doc_id"), "rk", "n_shingles", public_id("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NULL_ID, keyed_texts, public_id
+from tablewright.llm.common import keyed_texts, numbered, position, public_id, row_keys, with_lengths
 
 MIN_WORDS = 40
 #: A unit ends at a line feed, after a sentence's end or before a capital.
@@ -150,20 +150,19 @@ def with_passages_removed(docs: DataFrame, min_words: int = MIN_WORDS, id_col: s
 
     A null text stays null. Rows that lose nothing come back as they were.
     """
-    names, types = docs.columns, dict(docs.dtypes)
+    at, id_at = position(docs, text_col), position(docs, id_col)
     seen = repeated_units(docs, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("rk").alias("_rk"), F.col("repeated").alias("_repeated"))
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
-    rows = docs.withColumn("_doc", doc).withColumn("_rk", F.xxhash64("_doc", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    rows = rows.join(seen.hint("shuffle_hash"), ["_doc", "_rk"], "left").select(*[F.col(f"`{c}`") for c in names], "_repeated")
+    rows = numbered(docs)
+    names = rows.columns
+    keyed = row_keys(rows, F.col(f"c{id_at}"), F.col(f"c{at}"))
+    marked = keyed.join(seen.hint("shuffle_hash"), ["_doc", "_rk"], "left").select(*names, "_repeated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for t, rep in zip(batch.column(text_col), batch.column("_repeated"), strict=True):
+            for t, rep in zip(batch.column(f"c{at}"), batch.column("_repeated"), strict=True):
                 text = t.as_py()
                 texts.append(text if text is None else without(text, repeated_spans(text, set(rep.as_py() or ()), min_words)))
-            columns = {c: batch.column(c) for c in names} | {text_col: pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(n) for k, n in enumerate(names)], names)
 
-    out = rows.mapInArrow(run, docs.schema)
-    return out.withColumn(chars_col, F.char_length(F.col(f"`{text_col}`")).cast(types[chars_col])) if chars_col in names else out
+    return with_lengths(marked.mapInArrow(run, rows.schema), docs, at, chars_col)

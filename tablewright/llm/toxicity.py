@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import keyed_texts, public_id
+from tablewright.llm.common import keyed_texts, materialize, numbered, pick, position, public_id
 
 FOLDS = 5
 SAMPLE_ROWS = 6_000  # of each class, at most; taken by a hash of the id
@@ -147,8 +147,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_
     The choice is by a hash of the id among rows outside fold 0, so it doesn't depend on
     order or partitioning; its ids are few enough, by that bound, to broadcast.
     """
-    marked = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).where(fold(id_col) != 0)
-    marked = marked.groupBy(F.col(id_col).cast("long").alias("doc")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = pick(labels, doc=id_col, toxic="toxic").where(F.col("toxic").isin(0, 1) & F.col("doc").isNotNull()).where(fold("doc") != 0)
+    marked = marked.groupBy(F.col("doc").cast("long").alias("doc")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = None
     for c in (0, 1):
         part = marked.where(F.col("toxic") == c).orderBy(F.xxhash64("doc"), "doc").limit(rows)
@@ -158,8 +158,6 @@ def sample_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> Model:
     """Fit on a bounded sample (``rows`` of each class) outside fold 0. No labels: a model that scores 0.5 or less."""
-    from tablewright.llm.common import materialize
-
     sample = materialize(sample_rows(docs, labels, rows, id_col), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
@@ -230,12 +228,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
 def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns. Row-local: no shuffle."""
-    names = docs.columns
+    at, rows = position(docs, text_col), numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            keep = [score(t.as_py() or "") < threshold for t in batch.column(text_col)]
+            keep = [score(t.as_py() or "") < threshold for t in batch.column(f"c{at}")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NULL_ID, _written, public_id, scratch_root
+from tablewright.llm.common import NULL_ID, _written, pick, public_id, scratch_root
 
 MIN_BYTES = 1000
 RECORDS_PER_FILE = 2000
@@ -28,10 +28,10 @@ RECORDS = "page long, url string, record_type string, payload_digest string, pay
 
 def keyed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page, url, payload, payload_bytes, payload_digest); a null payload is empty."""
-    rows = pages.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("page"),
-        F.regexp_replace(F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")), r"[\r\n]+", " ").alias("url"),
-        F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("payload"),
+    rows = pick(pages, page=id_col, url=url_col, payload=html_col).select(
+        F.coalesce(F.col("page").cast("long"), F.lit(NULL_ID)).alias("page"),
+        F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]+", " ").alias("url"),
+        F.coalesce(F.col("payload").cast("string"), F.lit("")).alias("payload"),
     )
     return rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
 
