@@ -1,10 +1,12 @@
 """Substring dedup: digests of normalised units, the earliest ranked occurrence stays.
 
-Units are lines, cut further where sentences end or begin, since repeated passages
-often sit in the middle of a line. A unit's digest is grouped globally; a unit is
-*repeated* where it isn't the earliest by document and place. Runs of repeated units
-that together reach ``min_words`` go, with their offsets in the original text kept;
-shorter runs (a greeting, a short common line) stay.
+A text's words are cut into segments where lines or sentences end, before capitals, and
+after words chosen by their own hash, so a passage is cut alike wherever it stands, even
+in the middle of a line. A unit is the shortest row of whole segments from a cut on that
+has UNIT_WORDS words; its digest is grouped globally. A unit is *repeated* where it isn't
+the earliest by document and place. What repeated units cover goes wherever that is
+``min_words`` long and more, with its offsets in the original text kept; shorter runs (a
+greeting, a common phrase) stay.
 """
 
 from __future__ import annotations
@@ -20,76 +22,107 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import keyed_texts, numbered, position, public_id, row_keys, with_lengths
 
-MIN_WORDS = 40
-#: A unit ends at a line feed, after a sentence's end or before a capital.
-_UNIT = re.compile(r"\n|(?<=[.!?])[ \t]+|[ \t]+(?=[A-ZÀ-ÖØ-Þ])")
-_UNITS = "doc long, rk long, h long, n int"
-
-
-def unit_spans(text: str) -> list[tuple[int, int]]:
-    """[start, end) of each unit, in order; blanks between units belong to none."""
-    out, a = [], 0
-    for m in _UNIT.finditer(text):
-        if m.start() > a:
-            out.append((a, m.start()))
-        a = m.end()
-    if a < len(text):
-        out.append((a, len(text)))
-    return out
-
-
-def unit_key(unit: str) -> bytes:
-    """Normalised: blanks collapsed, A-Z in lower case. Empty for blank units."""
-    return b" ".join(unit.encode().lower().split())
-
-
-def unit_hash(key: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(key) - 2**63
+MIN_WORDS, UNIT_WORDS = 32, 8
+#: One word in so many ends a segment by its hash.
+CUT_EVERY = 6
+_UNITS = "doc long, rk long, h long"
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+_CAPITAL, _STOP = 1, 2
+_CACHE_WORDS = 300_000
+_BASE = 0x9E3779B97F4A7C15
+
+
+class Units:
+    """Digests of a text's units and the words they cover. One for each task."""
+
+    def __init__(self):
+        self._seen: dict[bytes, int] = {}
+        self._powers = np.ones(1, np.uint64)
+        self._inverses = np.ones(1, np.uint64)
+
+    def _hash(self, word: bytes) -> int:
+        """A word's hash, A-Z in lower case; its last bits say how the word is written."""
+        capital = 65 <= word[0] <= 90 or (word[0] == 0xC3 and len(word) > 1 and 0x80 <= word[1] <= 0x9E)
+        stop = word.rstrip(b"\"')")[-1:] in (b".", b"!", b"?")
+        return (xxhash.xxh3_64_intdigest(word.lower()) & ~7) | _CAPITAL * capital | _STOP * stop
+
+    def _grow(self, n: int) -> None:
+        if len(self._powers) <= n:
+            size = max(1024, 2 * n)
+            steps = np.full(size, _BASE, np.uint64)
+            steps[0] = 1
+            back = np.full(size, pow(_BASE, -1, 2**64), np.uint64)
+            back[0] = 1
+            self._powers, self._inverses = np.cumprod(steps), np.cumprod(back)
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(digests, first words, ends): unit k covers the words from first[k] up to ends[k]."""
+        words: list[bytes] = []
+        lines = []
+        for line in text.encode().split(b"\n"):
+            lines.append(len(words))
+            words += line.split()
+        n = len(words)
+        if n < UNIT_WORDS:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        seen = self._seen
+        if len(seen) > _CACHE_WORDS:
+            seen.clear()
+        for w in set(words):
+            if w not in seen:
+                seen[w] = self._hash(w)
+        marked = np.fromiter(map(seen.__getitem__, words), np.uint64, n)
+        capital, stop = (marked & np.uint64(_CAPITAL)) > 0, (marked & np.uint64(_STOP)) > 0
+        h = marked & ~np.uint64(7)
+        cut = np.zeros(n + 1, bool)
+        cut[[x for x in lines if x < n]] = True
+        cut[0] = cut[n] = True
+        cut[1:n] |= stop[:-1] | ((h[:-1] >> np.uint64(3)) % np.uint64(CUT_EVERY) == 0) | (capital[1:] & ~capital[:-1])
+        at = np.flatnonzero(cut)
+        first = at[at <= n - UNIT_WORDS]
+        ends = at[np.searchsorted(at, first + UNIT_WORDS)]
+        self._grow(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * self._powers[:n], out=sums[1:])
+        d = (sums[ends] - sums[first]) * self._inverses[first]
+        d = (d ^ (d >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (ends - first).astype(np.uint64)
+        return d.view(np.int64), first, ends
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct unit of a document: its digest and length."""
+    """One row for each distinct unit of a document."""
+    units = Units()
     for batch in batches:
-        doc, rk, hashes, size = [], [], [], []
-        for d, r, t in zip(batch.column("doc").to_pylist(), batch.column("rk").to_pylist(), batch.column("text"), strict=True):
-            keys = {unit_key(u) for u in _UNIT.split(t.as_py())}
-            keys.discard(b"")
-            hashes += [unit_hash(k) for k in keys]
-            size += [len(k) for k in keys]
-            doc += [d] * len(keys)
-            rk += [r] * len(keys)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(rk, pa.int64()), pa.array(np.array(hashes, np.int64)), pa.array(size, pa.int32())], ["doc", "rk", "h", "n"]
-        )
-
-
-def repeated_spans(text: str, repeated: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Offsets of the runs to remove: units repeated from elsewhere or from earlier in this text."""
-    out: list[tuple[int, int]] = []
-    here: set[int] = set()
-    start = end = None
-    words = 0
-
-    def close():
-        if start is not None and words >= min_words:
-            out.append((start, end))
-
-    for a, b in unit_spans(text):
-        key = unit_key(text[a:b])
-        if not key:
-            continue
-        h = unit_hash(key)
-        if h in repeated or h in here:
-            if start is None:
-                start, words = a, 0
-            end = b
-            words += key.count(b" ") + 1
-        else:
-            close()
-            start = None
-        here.add(h)
-    close()
-    return out
+        found = [np.unique(units(t.as_py())[0]) for t in batch.column("text")]
+        times = np.array([len(f) for f in found], np.int64)
+        keys = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("doc", "rk")]
+        h = np.concatenate(found) if found else np.zeros(0, np.int64)
+        for s in range(0, max(len(h), 1), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000], pa.int64()) for x in (*keys, h)], ["doc", "rk", "h"])
+
+
+def repeated_spans(text: str, repeated: np.ndarray, min_words: int, units: Units | None = None) -> list[tuple[int, int]]:
+    """Offsets of what to remove: words covered by units repeated from elsewhere or from earlier in this text."""
+    digests, first, ends = (units or Units())(text)
+    if not len(digests):
+        return []
+    again = np.ones(len(digests), bool)
+    again[np.unique(digests, return_index=True)[1]] = False
+    again |= np.isin(digests, repeated)
+    if not again.any():
+        return []
+    n = int(ends[-1])
+    depth = np.zeros(n + 2, np.int64)
+    np.add.at(depth, first[again] + 1, 1)
+    np.add.at(depth, ends[again] + 1, -1)
+    covered = np.cumsum(depth) > 0
+    edges = np.flatnonzero(covered[1:] != covered[:-1])
+    runs = [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a >= min_words]
+    if not runs:
+        return []
+    places = [m.span() for m in _WORD.finditer(text)]
+    return [(places[a][0], places[b - 1][1]) for a, b in runs]
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -113,11 +146,15 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     units = keyed_texts(docs, id_col, text_col).mapInArrow(_units, _UNITS)
     # a copy of a whole row (same id and text) ranks with the row it repeats
-    first = units.groupBy("h", "n").agg(F.min(F.struct("doc", "rk")).alias("f"), F.max(F.struct("doc", "rk")).alias("l")).where("f <> l").select("h", "n", "f")
-    later = units.join(first, ["h", "n"]).where("struct(doc, rk) <> f")
+    first = units.groupBy("h").agg(F.min(F.struct("doc", "rk")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "f")
+    later = units.join(first, "h").where("struct(doc, rk) <> f")
     return later.groupBy("doc", "rk").agg(F.collect_set("h").alias("repeated"))
 
 
+def _known(rep: pa.ListScalar) -> np.ndarray:
+    return rep.values.to_numpy(zero_copy_only=False) if rep.is_valid else np.zeros(0, np.int64)
+
+
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, removed array<struct<start, end>>, n_removed): every row without its repeated passages.
 
@@ -127,11 +164,12 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        units = Units()
         for batch in batches:
             texts, removed = [], []
             for t, rep in zip(batch.column("text"), batch.column("repeated"), strict=True):
                 text = t.as_py()
-                spans = repeated_spans(text, set(rep.as_py() or ()), min_words)
+                spans = repeated_spans(text, _known(rep), min_words, units)
                 texts.append(without(text, spans))
                 removed.append([{"start": s, "end": e} for s, e in spans])
             gone = [sum(x["end"] - x["start"] for x in r) for r in removed]
@@ -158,11 +196,12 @@ def with_passages_removed(docs: DataFrame, min_words: int = MIN_WORDS, id_col: s
     marked = keyed.join(seen.hint("shuffle_hash"), ["_doc", "_rk"], "left").select(*names, "_repeated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units()
         for batch in batches:
             texts = []
             for t, rep in zip(batch.column(f"c{at}"), batch.column("_repeated"), strict=True):
                 text = t.as_py()
-                texts.append(text if text is None else without(text, repeated_spans(text, set(rep.as_py() or ()), min_words)))
+                texts.append(text if text is None else without(text, repeated_spans(text, _known(rep), min_words, units)))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(n) for k, n in enumerate(names)], names)
 
     return with_lengths(marked.mapInArrow(run, rows.schema), docs, at, chars_col)

@@ -1,6 +1,7 @@
 """MinHash near-dedup, substring dedup and the components below them against brute force."""
 
 import random
+import re
 from collections import defaultdict
 
 from tablewright.llm import common, minhash_dedup, substring_dedup
@@ -94,34 +95,52 @@ def test_components(spark):
 
 
 def brute_passages(rows, min_words):
-    """Rank documents by id; a unit is repeated where an earlier document, or this one earlier, has it."""
+    """Rank documents by id; a unit is repeated where an earlier document, or this one earlier, has its words."""
     ranked = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0))
-    seen, out = set(), {}
+    seen, out, units = set(), {}, substring_dedup.Units()
     for k in ranked:
         text = rows[k][1] or ""
-        spans, run, here = [], [], set()
-        for a, b in [*substring_dedup.unit_spans(text), (None, None)]:
-            key = b"" if a is None else substring_dedup.unit_key(text[a:b])
-            if a is not None and not key:
-                continue
-            if a is not None and (key in seen or key in here):
-                run.append((a, b, len(key.split())))
-            else:
-                if run and sum(n for _, _, n in run) >= min_words:
-                    spans.append((run[0][0], run[-1][1]))
-                run = []
+        places = [m.span() for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text)]
+        words = [text[a:b].encode().lower() for a, b in places]
+        here, covered = set(), [False] * len(words)
+        _, first, ends = units(text)
+        for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+            assert b - a >= substring_dedup.UNIT_WORDS
+            key = tuple(words[a:b])
+            if key in seen or key in here:
+                covered[a:b] = [True] * (b - a)
             here.add(key)
         seen |= here
+        spans, a = [], None
+        for x, c in enumerate([*covered, False]):
+            if c and a is None:
+                a = x
+            if not c and a is not None:
+                if x - a >= min_words:
+                    spans.append((places[a][0], places[x - 1][1]))
+                a = None
         out[rows[k][0]] = spans
     return out
 
 
+def test_passages_in_the_middle_of_lines(spark):
+    """A passage of 60 words without any mark of where it begins goes from all but the first document."""
+    passage = prose(7000, 60, per_line=10**6)
+    rows = [(k, f"{prose(300 + k, 33, 10**6)} {passage} {prose(400 + k, 47, 10**6)}") for k in range(40)]
+    left = 0
+    for r in substring_dedup.substring_dedup(documents(spark, rows)).collect():
+        tail = set(passage.split(" ")[15:45]) & set(r["text"].split(" "))
+        left += r["doc_id"] != 0 and len(tail) > 25
+        assert len(r["text"].split(" ")) >= 80
+    assert left == 0
+
+
 def test_passages(spark):
     passage = "Every Harbour keeps a ledger of the boats that come and go. " + prose(7, 60, per_line=10**6) + ". And so it ends here."
     rows = [(k, f"Start {k} of it. {prose(100 + k, 30)}. {passage} {prose(200 + k, 25)}.") for k in range(1, 20)]
     rows += [(30, None), (31, ""), (32, passage + "\n" + passage), (33, "Short common line.\n" + prose(9, 50)), (34, "Short common line.\n" + prose(10, 50)), (None, passage)]
     docs = documents(spark, rows)
-    want = brute_passages(rows, 40)
+    want = brute_passages(rows, substring_dedup.MIN_WORDS)
     got = {r["doc_id"]: ([(x["start"], x["end"]) for x in r["removed"]], r["text"], r["n_removed"]) for r in substring_dedup.substring_dedup(docs).collect()}
     assert {i: g[0] for i, g in got.items()} == want
     assert got[None][0] == [] and got[30] == ([], "", 0)

@@ -6,7 +6,7 @@ from tests.llm.fixtures import documents, long_line, prose, rows_of
 
 
 def test_each_stage_takes_effect(spark, tmp_path):
-    passage = prose(70, 60, per_line=10**6)
+    passage = prose(7000, 60, per_line=10**6)
     rows = [(k, prose(k, 80) + "\n" + (long_line(3) if k < 20 else "")) for k in range(1, 120)]
     rows += [(k, prose(k, 70) + "\nscumbag vermin trashfire\n") for k in range(200, 260)]
     rows += [(300, rows[40][1]), (301, rows[40][1]), (301, rows[40][1]), (302, None), (303, ""), (304, None)]
