@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import keyed_texts, materialize, public_id
 
-SEQUENCE, UNIT = 2048, 8
+SEQUENCE, UNIT = 2048, 4
 MAX_COLUMNS = 2_000
 
 
@@ -154,14 +154,36 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
+def greedy_basis(sizes: np.ndarray, need: np.ndarray, capacity: int) -> np.ndarray:
+    """Patterns, a column for each class, that make a first basis: largest pieces first.
+
+    Each pattern is used until it exhausts a class, which no later pattern holds: ordered
+    by that, the matrix is triangular. Classes exhausted by the way have columns of their own.
+    """
+    left, columns = need.astype(float).copy(), np.zeros((len(sizes), len(sizes)))
+    while (open_ := np.flatnonzero(left > 0)).size:
+        pattern, room = np.zeros(len(sizes)), capacity
+        for i in open_[::-1]:
+            pattern[i] = min(room // sizes[i], np.ceil(left[i]))
+            room -= pattern[i] * sizes[i]
+        held = np.flatnonzero(pattern)
+        k = held[(left[held] / pattern[held]).argmin()]
+        left[held] = np.maximum(left[held] - left[k] / pattern[k] * pattern[held], 0)
+        left[k] = 0
+        columns[:, k] = pattern
+    for k in np.flatnonzero(~columns.any(axis=0)):
+        columns[k, k] = capacity // sizes[k]
+    return columns
+
+
 def solve_patterns(demand: dict[int, int], capacity: int, max_columns: int = MAX_COLUMNS) -> list[tuple[dict[int, int], int]]:
     """[(pattern {class: count}, times)] that covers ``demand`` exactly, nearly without waste."""
     sizes = np.array(sorted(c for c, n in demand.items() if n > 0), np.int64)
     if not len(sizes):
         return []
     need = np.array([demand[int(c)] for c in sizes], float)
-    columns = np.diag(capacity // sizes).astype(float)  # one pattern of equal pieces for each class
-    inverse = np.diag(1.0 / np.diag(columns))
+    columns = greedy_basis(sizes, need, capacity)
+    inverse = np.linalg.inv(columns)
     x = inverse @ need
     for _ in range(max_columns):
         prices = inverse.sum(axis=0)
