@@ -11,12 +11,10 @@ greeting, a common phrase) stay.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,86 +23,109 @@ from tablewright.llm.common import keyed_texts, numbered, position, public_id, r
 MIN_WORDS, UNIT_WORDS = 32, 8
 #: One word in so many ends a segment by its hash.
 CUT_EVERY = 6
-_UNITS = "doc long, rk long, h long"
-_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-_CAPITAL, _STOP = 1, 2
-_CACHE_WORDS = 300_000
+#: Texts are hashed together in chunks of about so many bytes.
+CHUNK_BYTES = 1 << 18
+_UNITS = "doc long, rk long, h long, again boolean"
 _BASE = 0x9E3779B97F4A7C15
 
 
 class Units:
-    """Digests of a text's units and the words they cover. One for each task."""
+    """Digests of texts' units, many texts at once. One for each task.
+
+    Words and rows of words are hashed as polynomials modulo 2 ** 64, by differences of
+    prefix sums, so nothing is done word by word.
+    """
 
     def __init__(self):
-        self._seen: dict[bytes, int] = {}
         self._powers = np.ones(1, np.uint64)
         self._inverses = np.ones(1, np.uint64)
 
-    def _hash(self, word: bytes) -> int:
-        """A word's hash, A-Z in lower case; its last bits say how the word is written."""
-        capital = 65 <= word[0] <= 90 or (word[0] == 0xC3 and len(word) > 1 and 0x80 <= word[1] <= 0x9E)
-        stop = word.rstrip(b"\"')")[-1:] in (b".", b"!", b"?")
-        return (xxhash.xxh3_64_intdigest(word.lower()) & ~7) | _CAPITAL * capital | _STOP * stop
-
     def _grow(self, n: int) -> None:
         if len(self._powers) <= n:
-            size = max(1024, 2 * n)
+            size = max(1024, n + n // 4)
             steps = np.full(size, _BASE, np.uint64)
             steps[0] = 1
             back = np.full(size, pow(_BASE, -1, 2**64), np.uint64)
             back[0] = 1
             self._powers, self._inverses = np.cumprod(steps), np.cumprod(back)
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(digests, first words, ends): unit k covers the words from first[k] up to ends[k]."""
-        words: list[bytes] = []
-        lines = []
-        for line in text.encode().split(b"\n"):
-            lines.append(len(words))
-            words += line.split()
-        n = len(words)
-        if n < UNIT_WORDS:
+    def _ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of values[start:end] for each range."""
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self._powers[: len(values)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self._inverses[starts]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (ends - starts).astype(np.uint64)
+        return h ^ (h >> np.uint64(29))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(digests, first words, ends, texts' numbers, words' first bytes, words' ends).
+
+        Unit k covers the words from first[k] up to ends[k], counted over all texts.
+        """
+        buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        self._grow(len(buf) + 1)
+        upper = (buf >= 65) & (buf <= 90)
+        dark = np.zeros(len(buf) + 1, bool)  # one place before the text, for what begins at once
+        dark[1:] = (buf != 32) & ((buf < 9) | (buf > 13))
+        edges = np.flatnonzero(dark[1:] != dark[:-1])
+        starts, stops = edges[::2], edges[1::2]
+        n = len(starts)
+        if not n:
             none = np.zeros(0, np.int64)
-            return none, none, none
-        seen = self._seen
-        if len(seen) > _CACHE_WORDS:
-            seen.clear()
-        for w in set(words):
-            if w not in seen:
-                seen[w] = self._hash(w)
-        marked = np.fromiter(map(seen.__getitem__, words), np.uint64, n)
-        capital, stop = (marked & np.uint64(_CAPITAL)) > 0, (marked & np.uint64(_STOP)) > 0
-        h = marked & ~np.uint64(7)
-        cut = np.zeros(n + 1, bool)
-        cut[[x for x in lines if x < n]] = True
-        cut[0] = cut[n] = True
-        cut[1:n] |= stop[:-1] | ((h[:-1] >> np.uint64(3)) % np.uint64(CUT_EVERY) == 0) | (capital[1:] & ~capital[:-1])
+            return none, none, none, none, starts, stops
+        words = self._ranges((buf + upper.astype(np.uint8) * np.uint8(32)).astype(np.uint64) + np.uint64(1), starts, stops)
+        head, last, before = buf[starts], buf[stops - 1], buf[np.maximum(stops - 2, 0)]
+        capital = upper[starts] | ((head == 0xC3) & (buf[starts + 1] >= 0x80) & (buf[starts + 1] <= 0x9E))
+        full = lambda x: (x == 46) | (x == 33) | (x == 63)
+        stop = full(last) | (((last == 34) | (last == 39) | (last == 41)) & full(before))
+        line = np.searchsorted(np.flatnonzero(buf == 10), starts)
+        ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
+        text = np.searchsorted(ends_of_texts, starts, side="right")
+        cut = np.ones(n + 1, bool)
+        cut[1:n] = (line[1:] != line[:-1]) | stop[:-1] | (words[:-1] % np.uint64(CUT_EVERY) == 0) | (capital[1:] & ~capital[:-1])
         at = np.flatnonzero(cut)
-        first = at[at <= n - UNIT_WORDS]
+        # texts end at cuts, so a unit with enough words before that stays inside
+        last_word = np.searchsorted(text, text, side="right")
+        first = at[:-1]
+        first = first[first + UNIT_WORDS <= last_word[first]]
         ends = at[np.searchsorted(at, first + UNIT_WORDS)]
-        self._grow(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * self._powers[:n], out=sums[1:])
-        d = (sums[ends] - sums[first]) * self._inverses[first]
-        d = (d ^ (d >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (ends - first).astype(np.uint64)
-        return d.view(np.int64), first, ends
+        return self._ranges(words, first, ends).view(np.int64), first, ends, text[first], starts, stops
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, UTF-8 texts) of consecutive texts, CHUNK_BYTES or one text at a time."""
+    start, held, size = 0, [], 0
+    for k, t in enumerate(texts):
+        data = t.as_py().encode()
+        if held and size + len(data) > CHUNK_BYTES:
+            yield start, held
+            start, held, size = k, [], 0
+        held.append(data)
+        size += len(data)
+    if held:
+        yield start, held
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct unit of a document."""
+    """One row for each distinct unit of a document; ``again``: it occurs more than once there."""
     units = Units()
     for batch in batches:
-        found = [np.unique(units(t.as_py())[0]) for t in batch.column("text")]
-        times = np.array([len(f) for f in found], np.int64)
-        keys = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("doc", "rk")]
-        h = np.concatenate(found) if found else np.zeros(0, np.int64)
-        for s in range(0, max(len(h), 1), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000], pa.int64()) for x in (*keys, h)], ["doc", "rk", "h"])
+        doc, rk = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "rk"))
+        for start, texts in _chunks(batch.column("text")):
+            h, _, _, of, _, _ = units(texts)
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            same = np.zeros(len(h) + 1, bool)
+            same[1:-1] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
+            kept = ~same[:-1]
+            of = of[kept] + start
+            yield pa.RecordBatch.from_arrays([pa.array(doc[of], pa.int64()), pa.array(rk[of], pa.int64()), pa.array(h[kept], pa.int64()), pa.array(same[1:][kept], pa.bool_())], ["doc", "rk", "h", "again"])
 
 
 def repeated_spans(text: str, repeated: np.ndarray, min_words: int, units: Units | None = None) -> list[tuple[int, int]]:
     """Offsets of what to remove: words covered by units repeated from elsewhere or from earlier in this text."""
-    digests, first, ends = (units or Units())(text)
+    data = text.encode()
+    digests, first, ends, _, starts, stops = (units or Units())([data])
     if not len(digests):
         return []
     again = np.ones(len(digests), bool)
@@ -118,11 +139,17 @@ def repeated_spans(text: str, repeated: np.ndarray, min_words: int, units: Units
     np.add.at(depth, ends[again] + 1, -1)
     covered = np.cumsum(depth) > 0
     edges = np.flatnonzero(covered[1:] != covered[:-1])
-    runs = [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a >= min_words]
-    if not runs:
-        return []
-    places = [m.span() for m in _WORD.finditer(text)]
-    return [(places[a][0], places[b - 1][1]) for a, b in runs]
+    out, at, chars = [], 0, 0
+    for a, b in edges.reshape(-1, 2).tolist():
+        if b - a < min_words:
+            continue
+        span = []
+        for place in (int(starts[a]), int(stops[b - 1])):  # bytes to code points
+            chars += len(data[at:place].decode())
+            at = place
+            span.append(chars)
+        out.append((span[0], span[1]))
+    return out
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -140,19 +167,20 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, rk, repeated array<long>): digests of units that an earlier document holds.
 
+    Only documents with such units, or with units that they hold twice, have a row.
     Documents rank by id, null first, then by content. The earliest holder of a digest
     comes from partial aggregates; only digests with two holders join back, and that
     join's hot keys can be split.
     """
     units = keyed_texts(docs, id_col, text_col).mapInArrow(_units, _UNITS)
     # a copy of a whole row (same id and text) ranks with the row it repeats
-    first = units.groupBy("h").agg(F.min(F.struct("doc", "rk")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "f")
-    later = units.join(first, "h").where("struct(doc, rk) <> f")
-    return later.groupBy("doc", "rk").agg(F.collect_set("h").alias("repeated"))
+    first = units.groupBy("h").agg(F.min(F.struct("doc", "rk")).alias("f"), F.count(F.lit(1)).alias("n"), F.max("again").alias("twice")).where("n > 1 or twice").select("h", "f")
+    later = units.join(first, "h").withColumn("later", F.expr("struct(doc, rk) <> f")).where("later or again")
+    return later.groupBy("doc", "rk").agg(F.collect_set(F.when(F.col("later"), F.col("h"))).alias("repeated"))
 
 
 def _known(rep: pa.ListScalar) -> np.ndarray:
-    return rep.values.to_numpy(zero_copy_only=False) if rep.is_valid else np.zeros(0, np.int64)
+    return rep.values.to_numpy(zero_copy_only=False)
 
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +197,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
             texts, removed = [], []
             for t, rep in zip(batch.column("text"), batch.column("repeated"), strict=True):
                 text = t.as_py()
-                spans = repeated_spans(text, _known(rep), min_words, units)
+                spans = repeated_spans(text, _known(rep), min_words, units) if rep.is_valid else []
                 texts.append(without(text, spans))
                 removed.append([{"start": s, "end": e} for s, e in spans])
             gone = [sum(x["end"] - x["start"] for x in r) for r in removed]
@@ -201,7 +229,8 @@ def with_passages_removed(docs: DataFrame, min_words: int = MIN_WORDS, id_col: s
             texts = []
             for t, rep in zip(batch.column(f"c{at}"), batch.column("_repeated"), strict=True):
                 text = t.as_py()
-                texts.append(text if text is None else without(text, repeated_spans(text, _known(rep), min_words, units)))
+                touched = text is not None and rep.is_valid
+                texts.append(without(text, repeated_spans(text, _known(rep), min_words, units)) if touched else text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(n) for k, n in enumerate(names)], names)
 
     return with_lengths(marked.mapInArrow(run, rows.schema), docs, at, chars_col)

@@ -5,7 +5,7 @@ import re
 from collections import defaultdict
 
 from tablewright.llm import common, minhash_dedup, substring_dedup
-from tests.llm.fixtures import awkward_documents, documents, prose, rows_of
+from tests.llm.fixtures import awkward_documents, awkward_texts, documents, prose, rows_of
 
 
 def shingles(text):
@@ -103,7 +103,8 @@ def brute_passages(rows, min_words):
         places = [m.span() for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text)]
         words = [text[a:b].encode().lower() for a, b in places]
         here, covered = set(), [False] * len(words)
-        _, first, ends = units(text)
+        _, first, ends, _, starts, stops = units([text.encode()])
+        assert [text.encode()[a:b].lower() for a, b in zip(starts, stops, strict=True)] == words
         for a, b in zip(first.tolist(), ends.tolist(), strict=True):
             assert b - a >= substring_dedup.UNIT_WORDS
             key = tuple(words[a:b])
@@ -123,6 +124,14 @@ def brute_passages(rows, min_words):
     return out
 
 
+def test_units_do_not_depend_on_the_texts_beside_them():
+    units, texts = substring_dedup.Units(), [(t or "").encode() for t in awkward_texts()]
+    together = units(texts)
+    for k, t in enumerate(texts):
+        alone = units([t])
+        assert alone[0].tolist() == together[0][together[3] == k].tolist()
+
+
 def test_passages_in_the_middle_of_lines(spark):
     """A passage of 60 words without any mark of where it begins goes from all but the first document."""
     passage = prose(7000, 60, per_line=10**6)
