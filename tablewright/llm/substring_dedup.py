@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import keyed_texts, numbered, position, public_id, row_keys, with_lengths
+from tablewright.llm.common import NULL_ID, keyed_texts, numbered, pick, position, public_id, row_keys, with_lengths
 
 MIN_WORDS, UNIT_WORDS = 32, 8
 #: One word in so many ends a segment by its hash.
 CUT_EVERY = 6
 #: Texts are hashed together in chunks of about so many bytes.
 CHUNK_BYTES = 1 << 18
-_UNITS = "doc long, rk long, h long, again boolean"
+_UNITS = "doc long, rk long, unit long"
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -89,7 +89,7 @@ class Units:
         first = at[:-1]
         first = first[first + UNIT_WORDS <= last_word[first]]
         ends = at[np.searchsorted(at, first + UNIT_WORDS)]
-        return self._ranges(words, first, ends).view(np.int64), first, ends, text[first], starts, stops
+        return self._ranges(words, first, ends).view(np.int64) & ~1, first, ends, text[first], starts, stops
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -107,7 +107,7 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct unit of a document; ``again``: it occurs more than once there."""
+    """One row for each distinct unit of a document: its digest, and in the last bit whether the document has it again."""
     units = Units()
     for batch in batches:
         doc, rk = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "rk"))
@@ -119,7 +119,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same[1:-1] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
             kept = ~same[:-1]
             of = of[kept] + start
-            yield pa.RecordBatch.from_arrays([pa.array(doc[of], pa.int64()), pa.array(rk[of], pa.int64()), pa.array(h[kept], pa.int64()), pa.array(same[1:][kept], pa.bool_())], ["doc", "rk", "h", "again"])
+            unit = (h[kept] & ~1) | same[1:][kept]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[of], pa.int64()), pa.array(rk[of], pa.int64()), pa.array(unit, pa.int64())], ["doc", "rk", "unit"])
 
 
 def repeated_spans(text: str, repeated: np.ndarray, min_words: int, units: Units | None = None) -> list[tuple[int, int]]:
@@ -173,10 +174,17 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     join's hot keys can be split.
     """
     units = keyed_texts(docs, id_col, text_col).mapInArrow(_units, _UNITS)
-    # a copy of a whole row (same id and text) ranks with the row it repeats
-    first = units.groupBy("h").agg(F.min(F.struct("doc", "rk")).alias("f"), F.count(F.lit(1)).alias("n"), F.max("again").alias("twice")).where("n > 1 or twice").select("h", "f")
-    later = units.join(first, "h").withColumn("later", F.expr("struct(doc, rk) <> f")).where("later or again")
-    return later.groupBy("doc", "rk").agg(F.collect_set(F.when(F.col("later"), F.col("h"))).alias("repeated"))
+    key, again = F.col("unit").bitwiseAND(F.lit(-2)), F.col("unit").bitwiseAND(F.lit(1))
+    first = units.groupBy(key.alias("h")).agg(F.min("doc").alias("f"), F.sum(again + 1).alias("n")).where("n > 1").select("h", "f")
+    met = units.join(first, key == F.col("h")).where((F.col("doc") > F.col("f")) | (again == 1))
+    later = met.select("doc", "rk", F.when(F.col("doc") > F.col("f"), F.col("h")).alias("h"))
+    # where rows share an id, the least of them by content is the first
+    shared = pick(docs, doc=id_col).select(F.coalesce(F.col("doc").cast("long"), F.lit(NULL_ID)).alias("doc")).groupBy("doc").count().where("count > 1").select("doc")
+    if not shared.isEmpty():
+        tied = units.join(shared, "doc", "left_semi").select("doc", "rk", key.alias("h"))
+        least = tied.groupBy("doc", "h").agg(F.min("rk").alias("least"), F.max("rk").alias("most")).where("least < most").select("doc", "h", "least")
+        later = later.unionByName(tied.join(least, ["doc", "h"]).where("rk <> least").select("doc", "rk", "h"))
+    return later.groupBy("doc", "rk").agg(F.collect_set("h").alias("repeated"))
 
 
 def _known(rep: pa.ListScalar) -> np.ndarray:

@@ -164,6 +164,17 @@ def test_passages(spark):
         assert (r[1] or "") == got[r["doc_id"]][1] and r["n_chars"] == (None if r[1] is None else len(r[1]))
 
 
+def test_rows_that_share_an_id(spark):
+    """Of rows with one id, the least by content keeps a passage; exact repeats are alike."""
+    passage = prose(7100, 60)
+    rows = [(1, f"Here {k}. {prose(7200 + k, 20)}\n{passage}\n{prose(7300 + k, 20)}") for k in range(4)] + [(2, passage)] * 2 + [(None, prose(7400 + k, 50) + "\n" + prose(7500, 50)) for k in range(3)]
+    out = substring_dedup.substring_dedup(documents(spark, rows)).collect()
+    assert len(out) == len(rows)
+    assert sorted(len(r["removed"]) for r in out if r["doc_id"] == 1) == [0, 1, 1, 1]
+    assert [r["text"] for r in out if r["doc_id"] == 2] == ["", ""]
+    assert sorted(len(r["removed"]) for r in out if r["doc_id"] is None) == [0, 1, 1]
+
+
 def test_passages_of_awkward_texts(spark):
     rows, docs = awkward_documents(spark)
     out = substring_dedup.substring_dedup(docs).collect()
