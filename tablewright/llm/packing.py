@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import keyed_texts, materialize, public_id
+from tablewright.llm.common import byte_letters, keyed_texts, materialize, public_id
 
 SEQUENCE, UNIT = 2048, 4
 MAX_COLUMNS = 2_000
@@ -56,7 +56,7 @@ class WordIds:
         made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
         self._fast = None
         if [vocabulary.get(t) for t in made] == list(range(512, 512 + len(made))) and self._self_coded(spec, vocabulary):
-            letters = _byte_letters()
+            letters = byte_letters()
             ranks = {self._END.encode(): len(vocabulary)}
             for token, i in vocabulary.items():
                 body = token.removesuffix("</w>") if len(token) > 4 else token
@@ -85,13 +85,6 @@ class WordIds:
         return array("I", self._fast.encode_ordinary(self._END.join([*words, ""]))).tobytes()
 
 
-def _byte_letters() -> dict[str, int]:
-    """The printable character that byte-level vocabularies write for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-
-
 @functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)

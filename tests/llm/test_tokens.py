@@ -72,6 +72,14 @@ def test_safe_pieces_add_up():
         assert sum(len(tok.encode(p, add_special_tokens=False)) for p in pieces) == len(tok.encode(text, add_special_tokens=False))
 
 
+def test_lengths_are_the_library_s():
+    tok, count, rng = Tokenizer.from_file(JSON), token_counts.Lengths(JSON), random.Random(9)
+    assert count._fast is not None
+    latin = ["a", "Word", "don't", "'s", "I'LL", "42", "½", "²", "é", "Ü", "ß", "_", "!!", "-", " ", "  ", "\n", "\t", "\r\n", "x" * 40, "'", "“q”", "…", "€", "–", "tokenization", "<|", "<|endoftext|>"]
+    texts = [odd_text(rng) for _ in range(150)] + ["".join(rng.choice(latin) for _ in range(200)) for _ in range(300)] + [t for t in awkward_texts() if t is not None]
+    assert count(texts) == [len(e) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_word_ids_are_the_library_s():
     tok, mine, rng = Tokenizer.from_file(WORD), packing.WordIds(WORD), random.Random(7)
     assert mine._fast is not None
