@@ -98,4 +98,31 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN newest IS NULL OR newest = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN newest <> d.page_id THEN newest END AS refers_to
         FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest AND d.payload_bytes >= 1000""",
+    "op5_minhash_dedup": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+        each AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+            FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * i >= 85 * (na + nb - i)),
+        reach AS (SELECT a AS id, a AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+        c AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+        FROM s LEFT JOIN c ON id = doc_id""",
+    "op7_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE a.e = b.e OR list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+        n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+        reach AS (SELECT a AS id, a AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+        c AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON id = vec_id""",
 }
