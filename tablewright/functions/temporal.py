@@ -58,44 +58,60 @@ def parse_format(fmt: str) -> tuple[str, list[str]]:
     return "(?i)\\A" + "".join(out) + "\\z", groups
 
 
+def _bound(col: Column, fn) -> Column:
+    """fn(col) with col computed once, however often fn uses it."""
+    return F.element_at(F.transform(F.array(col), fn), 1)
+
+
 def strptime(text: Column, fmt: str, year: int | None = None) -> tuple[Column, bool]:
     """(timestamp without zone, whether it is UTC by an offset in the text). Other texts raise an error."""
     pattern, groups = parse_format(fmt)
-    parts = F.split(F.regexp_replace(text, pattern, "|".join(f"${k + 1}" for k in range(len(groups))) or "0"), r"\|", -1)
-    got = {d: F.element_at(parts, k + 1) for k, d in enumerate(groups)}
-    number = lambda d, default: F.trim(got[d]).cast("int") if d in got else F.lit(default)
-    if year is not None:
-        y = F.lit(int(year))
-    elif "Y" in got:
-        y = number("Y", 1900)
-    elif "y" in got:
-        y = number("y", 0) + F.when(number("y", 0) >= 69, 1900).otherwise(2000)
-    else:
-        y = F.lit(1900)
-    named = lambda d, names: F.array_position(F.array(*[F.lit(n.lower()) for n in names]), F.lower(got[d])).cast("int")
-    month = number("m", 1) if "m" in got else named("B", MONTHS) if "B" in got else named("b", SHORT_MONTHS) if "b" in got else F.lit(1)
-    hour = number("H", 0)
-    if "I" in got and "H" not in got:
-        hour = number("I", 0) % 12 + (F.when(F.lower(got["p"]) == "pm", 12).otherwise(0) if "p" in got else F.lit(0))
-    second = number("S", 0).cast("decimal(8,6)")
-    if "f" in got:
-        second = (second + F.rpad(got["f"], 6, "0").cast("decimal(6,0)") / F.lit(1_000_000)).cast("decimal(8,6)")
-    if "j" in got and not {"m", "b", "B", "d"} & set(got):
-        day = F.date_add(F.make_date(y, F.lit(1), F.lit(1)), number("j", 1) - 1)
-        made = F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), hour, number("M", 0), second)
-    else:
-        made = F.make_timestamp_ntz(y, month, number("d", 1), hour, number("M", 0), second)
-    utc = "z" in got
-    if utc:
-        z = F.regexp_replace(got["z"], ":", "")
-        minutes = F.when(F.upper(z) == "Z", 0).otherwise((F.substring(z, 2, 2).cast("int") * 60 + F.substring(z, 4, 2).cast("int")) * F.when(z.startswith("-"), -1).otherwise(1))
-        made = made - F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+    found = F.split(F.regexp_replace(text, pattern, "|".join(f"${k + 1}" for k in range(len(groups))) or "0"), r"\|", -1)
+    utc = "z" in groups
+
+    def assemble(parts: Column) -> Column:
+        got = {d: F.element_at(parts, k + 1) for k, d in enumerate(groups)}
+        number = lambda d, default: F.trim(got[d]).cast("int") if d in got else F.lit(default)
+        if year is not None:
+            y = F.lit(int(year))
+        elif "Y" in got:
+            y = number("Y", 1900)
+        elif "y" in got:
+            y = number("y", 0) + F.when(number("y", 0) >= 69, 1900).otherwise(2000)
+        else:
+            y = F.lit(1900)
+        named = lambda d, names: F.array_position(F.array(*[F.lit(n.lower()) for n in names]), F.lower(got[d])).cast("int")
+        month = number("m", 1) if "m" in got else named("B", MONTHS) if "B" in got else named("b", SHORT_MONTHS) if "b" in got else F.lit(1)
+        hour = number("H", 0)
+        if "I" in got and "H" not in got:
+            hour = number("I", 0) % 12 + (F.when(F.lower(got["p"]) == "pm", 12).otherwise(0) if "p" in got else F.lit(0))
+        second = number("S", 0).cast("decimal(8,6)")
+        if "f" in got:
+            second = (second + F.rpad(got["f"], 6, "0").cast("decimal(6,0)") / F.lit(1_000_000)).cast("decimal(8,6)")
+        if "j" in got and not {"m", "b", "B", "d"} & set(got):
+            day = F.date_add(F.make_date(y, F.lit(1), F.lit(1)), number("j", 1) - 1)
+            made = F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), hour, number("M", 0), second)
+        else:
+            made = F.make_timestamp_ntz(y, month, number("d", 1), hour, number("M", 0), second)
+        if utc:
+            z = F.regexp_replace(got["z"], ":", "")
+            minutes = F.when(F.upper(z) == "Z", 0).otherwise((F.substring(z, 2, 2).cast("int") * 60 + F.substring(z, 4, 2).cast("int")) * F.when(z.startswith("-"), -1).otherwise(1))
+            made = made - F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+        return made
+
+    made = _bound(found, assemble)
     bad = F.raise_error(F.concat(F.lit("time data '"), text, F.lit(f"' does not match format '{fmt}'"))).cast("timestamp_ntz")
     return F.when(text.isNull(), F.lit(None).cast("timestamp_ntz")).when(~text.rlike(pattern), bad).otherwise(made), utc
 
 
 def strftime(ts: Column, fmt: str, zone_name: Column | None = None, offset_minutes: Column | None = None) -> Column:
     """Text of a timestamp without zone (or a date)."""
+    if "%Z" in fmt or "%z" in fmt:  # a zone's name may come from Python, which no lambda can hold
+        return _strftime(ts, fmt, zone_name, offset_minutes)
+    return _bound(ts, lambda t: _strftime(t, fmt, None, None))
+
+
+def _strftime(ts: Column, fmt: str, zone_name: Column | None, offset_minutes: Column | None) -> Column:
     pad = lambda n, col: F.lpad(col.cast("string"), n, "0")
     second = F.date_part(F.lit("SECOND"), ts)
     whole, micros = F.floor(second), ((second - F.floor(second)) * 1_000_000).cast("int")
