@@ -1,12 +1,19 @@
 """Substring dedup: digests of normalised units, the earliest ranked occurrence stays.
 
 A text's words are cut into segments where lines or sentences end, before capitals, and
-after words chosen by their own hash, so a passage is cut alike wherever it stands, even
-in the middle of a line. A unit is the shortest row of whole segments from a cut on that
-has UNIT_WORDS words; its digest is grouped globally. A unit is *repeated* where it isn't
-the earliest by document and place. What repeated units cover goes wherever that is
-``min_words`` long and more, with its offsets in the original text kept; shorter runs (a
-greeting, a common phrase) stay.
+before the word of least hash of every CUT_WINDOW words in a row. So a passage is cut
+alike wherever it stands, even in the middle of a line, and at least once in CUT_WINDOW
+words. A unit is the shortest row of words that has UNIT_WORDS of them and lies between
+two cuts: up to each least hash, from another one, so no layout moves it; from each cut
+by layout to any; up to each end of a line or sentence from any. Digests of units are
+grouped globally. A
+unit is *repeated* where it isn't the earliest by document and place. What repeated
+units cover goes wherever that is ``min_words`` long and more, with its offsets in the
+original text kept; shorter runs (a greeting, a common phrase) stay.
+
+Of a repeated passage at most 2 * CUT_WINDOW - 2 words at its beginning and CUT_WINDOW at
+its end are not covered, so none of ``min_words`` + 3 * CUT_WINDOW - 2 words (48) and more
+is missed.
 """
 
 from __future__ import annotations
@@ -21,8 +28,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import NULL_ID, keyed_texts, numbered, pick, position, public_id, row_keys, with_lengths
 
 MIN_WORDS, UNIT_WORDS = 32, 8
-#: One word in so many ends a segment by its hash.
-CUT_EVERY = 6
+#: Of so many words in a row, the one of least hash begins a segment. At most UNIT_WORDS, so that units leave no gaps.
+CUT_WINDOW = 6
 #: Texts are hashed together in chunks of about so many bytes.
 CHUNK_BYTES = 1 << 18
 _UNITS = "doc long, rk long, unit long"
@@ -81,17 +88,43 @@ class Units:
         line = np.searchsorted(np.flatnonzero(buf == 10), starts)
         ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
         text = np.searchsorted(ends_of_texts, starts, side="right")
-        cut = np.ones(n + 1, bool)
-        cut[1:n] = (line[1:] != line[:-1]) | stop[:-1] | (words[:-1] % np.uint64(CUT_EVERY) == 0) | (capital[1:] & ~capital[:-1])
-        at = np.flatnonzero(cut)
-        # texts end at cuts, so a unit with enough words before that stays inside
-        last_word = np.searchsorted(text, text, side="right")
-        first = at[:-1]
-        first = first[first + UNIT_WORDS <= last_word[first]]
-        ends = at[np.searchsorted(at, first + UNIT_WORDS)]
+        least = _least(words, text)
+        hard = np.ones(n + 1, bool)
+        hard[1:n] = (line[1:] != line[:-1]) | stop[:-1]
+        layout = hard.copy()
+        layout[1:n] |= capital[1:] & ~capital[:-1]
+        cut = layout.copy()
+        cut[least] = True
+        at, layout, hard = np.flatnonzero(cut), np.flatnonzero(layout), np.flatnonzero(hard)
+        # texts begin and end at cuts by layout, so a unit with enough words after or before that stays inside
+        begin, end = np.searchsorted(text, text), np.searchsorted(text, text, side="right")
+        first, last = layout[:-1], hard[1:]
+        first, last = first[first + UNIT_WORDS <= end[first]], last[last - UNIT_WORDS >= begin[last - 1]]
+        pairs = [(first, at[np.searchsorted(at, first + UNIT_WORDS)]), (at[np.searchsorted(at, last - UNIT_WORDS, side="right") - 1], last)]
+        if len(least):
+            before = np.searchsorted(least, least - UNIT_WORDS, side="right") - 1
+            a, b = least[before[before >= 0]], least[before >= 0]
+            inside = text[a] == text[b]
+            pairs.append((a[inside], b[inside]))
+        # in order of place: of equal units in a text, the first is the earliest
+        both = np.unique(np.concatenate([(a << 32) | b for a, b in pairs]))
+        first, ends = both >> 32, both & 0xFFFFFFFF
         return self._ranges(words, first, ends).view(np.int64) & ~1, first, ends, text[first], starts, stops
 
 
+def _least(words: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places of the least (of equals, the last) of every CUT_WINDOW words in a row of one text."""
+    n = len(words) - CUT_WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    best, place = words[:n].copy(), np.arange(n)
+    for k in range(1, CUT_WINDOW):
+        lower = words[k : k + n] <= best
+        best[lower] = words[k : k + n][lower]
+        place[lower] = np.flatnonzero(lower) + k
+    return np.unique(place[text[:n] == text[CUT_WINDOW - 1 :]])
+
+
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first, UTF-8 texts) of consecutive texts, CHUNK_BYTES or one text at a time."""
     start, held, size = 0, [], 0
@@ -134,7 +167,7 @@ def repeated_spans(text: str, repeated: np.ndarray, min_words: int, units: Units
     again |= np.isin(digests, repeated)
     if not again.any():
         return []
-    n = int(ends[-1])
+    n = int(ends.max())
     depth = np.zeros(n + 2, np.int64)
     np.add.at(depth, first[again] + 1, 1)
     np.add.at(depth, ends[again] + 1, -1)

@@ -144,6 +144,22 @@ def test_passages_in_the_middle_of_lines(spark):
     assert left == 0
 
 
+def test_no_passage_of_over_50_words_is_missed(spark):
+    """Random passages inside lines, 51 words and more, found without Units: all but their outermost words go from the later document."""
+    rng, rows, at = random.Random(21), [], []
+    for k in range(400):
+        passage = prose(20_000 + k, 51 + k % 10, per_line=10**6)
+        for i in (2 * k, 2 * k + 1):
+            before = prose(30_000 + i, rng.randrange(5, 60), 10**6) + " "
+            rows.append((i, f"{before}{passage} {prose(40_000 + i, rng.randrange(5, 60), 10**6)}"))
+        words = passage.split(" ")
+        at.append((len(before), len(before) + len(" ".join(words[:10])) + 1, len(before) + len(" ".join(words[:-6])), len(before) + len(passage)))
+    out = {r["doc_id"]: [(x["start"], x["end"]) for x in r["removed"]] for r in substring_dedup.substring_dedup(documents(spark, rows)).collect()}
+    for k, (a, first, last, b) in enumerate(at):
+        assert out[2 * k] == []
+        assert [a <= s <= first and last <= e <= b for s, e in out[2 * k + 1]] == [True], k
+
+
 def test_passages(spark):
     passage = "Every Harbour keeps a ledger of the boats that come and go. " + prose(7, 60, per_line=10**6) + ". And so it ends here."
     rows = [(k, f"Start {k} of it. {prose(100 + k, 30)}. {passage} {prose(200 + k, 25)}.") for k in range(1, 20)]
