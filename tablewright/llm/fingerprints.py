@@ -85,8 +85,13 @@ def next_lower(ids: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
         found = step.where("next is not null").select(F.col("lo").alias("doc"), "next")
         pairs = found if pairs is None else pairs.unionByName(found)
         width <<= bits
+        # buckets below and above zero never become one: the last of each sign are joined by hand
         if low // width == high // width:
             break
+        if low // width == -1 and high // width == 0:
+            ends = ids.agg(F.min(F.when(F.col("doc") >= 0, F.col("doc"))), F.max(F.when(F.col("doc") < 0, F.col("doc")))).first()
+            pairs = pairs.unionByName(ids.sparkSession.createDataFrame([tuple(ends)], "doc long, next long"))
+            break
         level = level.groupBy(F.shiftright("at", bits).alias("up")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi", F.col("up").alias("at"))
     around = ids.sparkSession.createDataFrame([(low, high)], "doc long, next long")
     return pairs.unionByName(around)

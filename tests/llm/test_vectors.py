@@ -82,6 +82,23 @@ def test_fingerprints(spark):
     assert len(lone) == 1 and lone[0]["near_next"] == 1.0
 
 
+def test_fingerprints_of_null_and_negative_ids(spark):
+    """Ids of both signs finish; null ids come after all others, in text order."""
+    low = -(2**63)
+    rows, _ = awkward_documents(spark)
+    for more in ([], [(-1, "below zero"), (-(10**9), prose(5, 40)), (10**12, prose(6, 40)), (0, "zero")]):
+        at = rows + more
+        order = sorted(((low if i is None else i, t or "") for i, t in at), key=lambda r: (-r[0], r[1]))
+        want = []
+        for k, (i, t) in enumerate(order):
+            after, cut = order[(k + 1) % len(order)][1], len(t) // 3
+            want.append((None if i == low else i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
+        assert rows_of(fingerprints.edited_neighbours(documents(spark, at)), "doc_id", "n_chars", "edited_sha256") == sorted(want, key=repr)
+    ids = [low, -5, -1, 0, 3, 700]
+    below = fingerprints.next_lower(spark.createDataFrame([(i,) for i in ids], "doc long")).collect()
+    assert sorted(map(tuple, below)) == [(i, ids[k - 1]) for k, i in enumerate(ids)]
+
+
 def test_sketches_estimate(spark):
     base = prose(20, 3000, per_line=10**6)
     words = base.split(" ")
