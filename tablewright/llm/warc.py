@@ -126,15 +126,18 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, **col
 
 
 def deduplicate_archives(spark: SparkSession, source: str, target: str, min_bytes: int = MIN_BYTES) -> None:
-    """Rewrite archives: payloads held twice become revisits, old revisits get their payload's new response."""
-    records = read_archives(spark, source).withColumn("payload", F.col("payload").cast("string"))
+    """Rewrite archives: payloads held twice become revisits, old revisits get their payload's new response.
+
+    A revisit whose response is nowhere in the archives stays as it is.
+    """
+    records = read_archives(spark, source).withColumns({"payload": F.col("payload").cast("string"), "old": F.col("refers_to")})
     headers = records.select("page", "payload_digest", "payload_bytes", "record_type")
     full = resolve_revisits(records)
     held = headers.where("record_type = 'response'")
     again = find_revisits(held, min_bytes).withColumnRenamed("refers_to", "newer")
     moved = again.select(F.col("page").alias("refers_to"), "payload_digest", F.col("newer").alias("moved"))
     out = full.join(again, ["page", "payload_digest"], "left").join(moved, ["refers_to", "payload_digest"], "left")
-    out = out.select("page", "url", "payload", "payload_bytes", "payload_digest", F.coalesce("newer", "moved", "refers_to").alias("refers_to"))
+    out = out.select("page", "url", "payload", "payload_bytes", "payload_digest", F.coalesce("newer", "moved", "refers_to", "old").alias("refers_to"))
     write_archives(out, target)
 
 

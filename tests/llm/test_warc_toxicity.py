@@ -4,6 +4,8 @@ import hashlib
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tablewright.llm import toxicity, warc
 from tests.llm.fixtures import documents, prose, rows_of
 
@@ -98,3 +100,16 @@ def test_no_labels(spark):
     assert toxicity.score_documents(docs.limit(0), labels).collect() == []
     one = labels.where("toxic = 1")
     assert toxicity.score_documents(docs, one).count() == len(rows)
+
+
+def test_revisits_without_their_response_stay(spark, tmp_path):
+    whole, part, again = (f"{tmp_path}/{x}" for x in ("whole", "part", "again"))
+    html = "<p>" + "the same page " * 200
+    warc.archive_pages(spark.createDataFrame([(k, f"http://a/{k}", html) for k in (1, 2, 3)], "page_id long, url string, html string"), whole)
+    columns = ("page", "url", "record_type", "payload_digest", "payload_bytes", "refers_to")
+    orphans = warc.read_archives(spark, whole).where("record_type = 'revisit'").withColumn("payload", F.col("payload").cast("string"))
+    warc.write_archives(orphans, part)
+    warc.deduplicate_archives(spark, part, again)
+    got = rows_of(warc.read_archives(spark, again), *columns)
+    assert [(r[0], r[2], r[5]) for r in got] == [(1, "revisit", 3), (2, "revisit", 3)]
+    assert got == rows_of(orphans, *columns)
