@@ -77,7 +77,7 @@ def set_types(p: Package, types: dict[str, dict], resources=None, regex: bool =
         for pattern, options in types.items():
             hit = [n for n in fields if (re.match(f"^{pattern}$", n) if regex else n == pattern)]
             if not hit:
-                raise StepError(f'No field of resource "{r.name}" matches {pattern!r}. Available fields: {sorted(fields)}')
+                raise StepError(f"set_types: no field of {r.name!r} matches {pattern!r}; it has {sorted(fields)}")
             for n in hit:
                 f = fields[n] | options
                 if f.get("type") in ("date", "datetime", "time") and "format" in options and "outputFormat" not in options:
@@ -101,13 +101,13 @@ def update_resource(p: Package, resources=None, metadata: dict | None = None, **
 def remove_resources(p: Package, resources) -> Package:
     gone = p.selected(resources)
     if not gone or (isinstance(resources, list) and set(resources) - set(p.names)):
-        raise StepError(f"Resource pattern {resources} did not match any resources in the package. Available resources: {p.names}")
+        raise StepError(f"remove_resources: no resource matches {resources}; there are {p.names}")
     return p.with_resources(r for r in p.resources if r.name not in gone)
 
 
 def rename_resource(p: Package, old_resource: str, new_resource: str) -> Package:
     if old_resource not in p.names:
-        raise StepError(f"Resource {old_resource!r} not found. Available resources: {p.names}")
+        raise StepError(f"rename_resource: there is no {old_resource!r} among {p.names}")
 
     def step(r: Resource) -> Resource:
         path = str(r.descriptor.get("path", f"{r.name}.csv")).replace(old_resource, new_resource)

@@ -173,7 +173,7 @@ def _deduplicated(source: Resource, key, specs: dict, made: dict, name: str) ->
     grouped = _grouped(source, keys, specs)
     cols = [_result(F.col(f"__a{i}"), source.dtype(s["name"]), s["aggregate"]).alias(t) if s["aggregate"] != "count" else F.col(f"__a{i}").alias(t) for i, (t, s) in enumerate(specs.items())]
     df = grouped.select(*cols, F.col("__first").alias(ROW_ID))
-    return Resource(name, df, tuple(made.values()), source.descriptor)
+    return Resource(name, df, tuple(made.values()), source.descriptor, stable=source.stable)
 
 
 def _looked_up(source: Resource, source_key, target: Resource, target_key, specs: dict, made: dict, mode: str) -> Resource:
@@ -183,43 +183,32 @@ def _looked_up(source: Resource, source_key, target: Resource, target_key, specs
     native = bool(a and b) and all(source.dtype(source.field(x)["name"]) == target.dtype(target.field(y)["name"]) for x, y in zip(a, b, strict=True))
     grouped = _grouped(source, _key_columns(source, source_key, native), specs).withColumn("__hit", F.lit(True))
     names = [f"__k{i}" for i in range(len(a) if native else 1)]
-    keyed = target.df.select("*", *[k.alias(f"__t{n}") for k, n in zip(_key_columns(target, target_key, native), names, strict=True)])
+    keys = [k.alias(f"__t{n}") for k, n in zip(_key_columns(target, target_key, native), names, strict=True)]
+    keyed = target.df.select("*", *keys, F.lit(True).alias("__here"))
     same = reduce(lambda x, y: x & y, [F.col(f"__t{n}").eqNullSafe(F.col(n)) for n in names])
-    both = keyed.join(grouped, same, "inner" if mode == "inner" else "left")
-    columns, dtypes = {}, {}
+    both = keyed.join(grouped, same, {"inner": "inner", "half-outer": "left", "full-outer": "full_outer"}[mode])
+    columns = {}
     for i, (t, s) in enumerate(specs.items()):
         new = F.col(f"__a{i}") if s["aggregate"] == "count" else _result(F.col(f"__a{i}"), source.dtype(s["name"]), s["aggregate"])
         if t in target.names:
             have = target.field(t)["type"]
             if have != made[t]["type"]:
-                raise StepError(f"Reusing {t!r} but with different data types: {have}, {made[t]['type']}")
+                raise StepError(f"The field {t!r} is of type {have} and cannot hold {made[t]['type']}")
             old = quoted(t).cast(both.select(new.alias("x")).schema["x"].dataType)
             new = F.when(F.col("__hit"), new).otherwise(old)
         columns[t] = new
-        dtypes[t] = both.select(new.alias("x")).schema["x"].dataType
+    if mode == "full-outer":  # rows that only the source has get their key back
+        refill = dict(zip(b, names, strict=True)) if native else {b[0]: names[0]} if a and b and len(b) == 1 else {}
+        for n, k in refill.items():
+            if n not in specs:
+                columns[n] = F.when(F.col("__here"), quoted(n)).otherwise(F.col(k).cast(target.dtype(n)))
+        key_text = F.concat_ws(":", *[F.coalesce(F.col(n).cast("string"), F.lit("None")) for n in names])
+        alone = F.col("__here").isNull()
+        row_id = F.struct(alone.alias("part"), F.col(ROW_ID).alias("at"), F.when(alone, key_text).alias("key"))
+    else:
+        row_id = F.col(ROW_ID)
     order_of = [f["name"] for f in target.fields] + [t for t in specs if t not in target.names]
     fields = tuple(made.get(n) or target.field(n) for n in order_of)
     fields = tuple(target.field(f["name"]) | f if f["name"] in target.names and f["name"] in made else f for f in fields)
-    df = both.select(*[columns.get(n, quoted(n)).alias(n) for n in order_of], ROW_ID)
-    out = replace(target, df=df, fields=fields, dense=target.dense and mode == "half-outer")
-    if mode != "full-outer":
-        return out
-    rest = grouped.join(keyed.select(*[f"__t{n}" for n in names]).distinct(), same, "left_anti")
-    refill = dict(zip(b, names, strict=True)) if native else {}
-    if not native and (b and a):  # the key's text, cut up again, is what the cells were
-        refill = {b[0]: names[0]} if len(b) == 1 else {}
-    cells = []
-    for n in order_of:
-        if n in specs:
-            i = list(specs).index(n)
-            s = specs[n]
-            cell = F.col(f"__a{i}") if s["aggregate"] == "count" else _result(F.col(f"__a{i}"), source.dtype(s["name"]), s["aggregate"])
-        elif n in refill:
-            cell = F.col(refill[n]).cast(target.dtype(n))
-        else:
-            cell = F.lit(None)
-        cells.append(cell.cast(df.schema[n].dataType).alias(n))
-    key_text = F.concat_ws(":", *[F.coalesce(F.col(n).cast("string"), F.lit("None")) for n in names])
-    appended = rest.select(*cells, F.struct(F.lit(1).alias("part"), F.lit(None).cast(order.id_type(out)).alias("at"), key_text.alias("key")).alias(ROW_ID))
-    kept = df.withColumn(ROW_ID, F.struct(F.lit(0).alias("part"), F.col(ROW_ID).alias("at"), F.lit("").alias("key")))
-    return replace(out, df=kept.unionByName(appended), dense=False)
+    df = both.select(*[columns.get(n, quoted(n)).alias(n) for n in order_of], row_id.alias(ROW_ID))
+    return replace(target, df=df, fields=fields, dense=target.dense and mode == "half-outer")

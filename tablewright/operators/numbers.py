@@ -28,7 +28,7 @@ DEGREES = T.DecimalType(38, 26)
 def _need_number(r: Resource, name: str, integers: bool = False) -> None:
     kind = r.field(name).get("type")
     if not isinstance(r.dtype(name), T.NumericType) or (kind == "integer" and not integers):
-        raise StepError(f'The field "{name}" of {r.name!r} has not been cast to a number')
+        raise StepError(f"{name!r} of {r.name!r} is not of type number")
 
 
 def round_fields(p: Package, fields: list[dict], resources=None, boolean_statement: str | None = None) -> Package:
@@ -41,7 +41,7 @@ def round_fields(p: Package, fields: list[dict], resources=None, boolean_stateme
             name, digits = f["name"], int(f["digits"])
             whole = bool(f.get("convert_to_integer", False))
             if whole and digits:
-                raise StepError('The "convert_to_integer" flag cannot be used when "digits" is not 0')
+                raise StepError("round_fields: convert_to_integer needs digits 0")
             _need_number(r, name, integers=whole)
             kind = r.dtype(name)
             rounded = F.bround(quoted(name).cast(NUMBER), digits)
@@ -120,7 +120,7 @@ def _degrees(value: Column, f: dict) -> Column:
 
     def group(name: str) -> Column:
         if name not in groups:
-            raise StepError(f'The {name} group is required in the expression "{f["pattern"]}"')
+            raise StepError(f"convert_to_decimal_degrees: {f['pattern']!r} has no group {name}")
         return F.trim(F.regexp_extract(value, java, groups[name]))
 
     exact = lambda col: col.cast(T.DecimalType(38, 28))
@@ -136,14 +136,14 @@ def _degrees(value: Column, f: dict) -> Column:
             minutes = (minutes + F.floor(seconds / sixty)).cast(wide)
             seconds = (seconds % sixty).cast(wide)
         else:
-            seconds = F.when(seconds >= 60, fail("Seconds are greater or equal to 60").cast(wide)).otherwise(seconds)
+            seconds = F.when(seconds >= 60, fail("60 seconds or more").cast(wide)).otherwise(seconds)
         minutes = (minutes + (seconds / sixty).cast(wide)).cast(wide)
     elif f["format"] == "degrees-decimal_minutes":
         minutes = exact(group("decimal_minutes"))
     else:
-        raise StepError('"format" must be one of "degrees-minutes-seconds" or "degrees-decimal_minutes"')
+        raise StepError(f"convert_to_decimal_degrees: unknown format {f['format']!r}")
     if not wrap:
-        minutes = F.when(minutes >= 60, fail("Minutes are greater or equal to 60").cast(wide)).otherwise(minutes)
+        minutes = F.when(minutes >= 60, fail("60 minutes or more").cast(wide)).otherwise(minutes)
     size = (degrees + (minutes / sixty).cast(wide)).cast(T.DecimalType(38, 26))
     if f.get("directional"):
         west = F.lit(f["directional"] in ("W", "S"))
@@ -156,5 +156,5 @@ def _degrees(value: Column, f: dict) -> Column:
         turns = F.lit(Decimal(360))
         signed = F.when(signed > 180, signed - turns * F.ceil((signed - 180) / 360)).when(signed < -180, signed + turns * F.ceil((-signed - 180) / 360)).otherwise(signed)
     else:
-        signed = F.when(F.abs(signed) > 180, fail("Decimal degrees beyond 180").cast(DEGREES)).otherwise(signed)
-    return F.when(~value.rlike(java), fail("Match not found for an expression and value").cast(DEGREES)).otherwise(signed.cast(DEGREES))
+        signed = F.when(F.abs(signed) > 180, fail("more than 180 degrees").cast(DEGREES)).otherwise(signed)
+    return F.when(~value.rlike(java), fail("no match for the pattern").cast(DEGREES)).otherwise(signed.cast(DEGREES))

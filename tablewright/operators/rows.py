@@ -51,8 +51,7 @@ def edit_cells(p: Package, edited: dict, resources=None) -> Package:
                 by_field.setdefault(cell["field"], {})[row] = cell["value"]
         if not by_field:
             return r
-        r = order.numbered(r)
-        rows = r.df.agg(F.max(ROW_ID)).first()[0] or 0
+        r, rows = order.at_numbers(r, sorted(edits))
         if max(edits) > rows:
             raise StepError(f"Edits of rows {sorted(k for k in edits if k > rows)} were not used: {r.name!r} has {rows} rows")
         columns = {}
@@ -63,12 +62,12 @@ def edit_cells(p: Package, edited: dict, resources=None) -> Package:
             if len(cells) < MANY_EDITS:
                 out = quoted(name)
                 for row, v in cells.items():
-                    out = F.when(F.col(ROW_ID) == row, value(v)).otherwise(out)
+                    out = F.when(F.col(order.NUMBER) == row, value(v)).otherwise(out)
                 columns[name] = out
             else:  # as large as the parameter it came in, which the driver already holds
                 at, new = f"__at_{len(columns)}", f"__new_{len(columns)}"
                 table = df.sparkSession.createDataFrame([(k, None if v is None else str(v)) for k, v in cells.items()], f"{at} long, {new} string")
-                df = df.join(F.broadcast(table), F.col(ROW_ID) == F.col(at), "left")
+                df = df.join(F.broadcast(table), F.col(order.NUMBER) == F.col(at), "left")
                 cell = cast_cell(F.col(new), T.StringType(), r.field(name), r.missing).cast(kind)
                 columns[name] = F.when(F.col(at).isNotNull(), cell).otherwise(quoted(name))
         return replace(r, df=df).project(columns, r.fields)

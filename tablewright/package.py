@@ -36,13 +36,14 @@ def logical_type(kind: T.DataType) -> str:
 
 @dataclass(frozen=True)
 class Resource:
-    """One table. ``dense``: its row ids are 1 .. n without gaps."""
+    """One table. ``dense``: its row ids are 1 .. n without gaps. ``stable``: they are the same whenever they are computed."""
 
     name: str
     df: DataFrame
     fields: tuple[dict, ...]
     descriptor: dict = field(default_factory=dict)
     dense: bool = False
+    stable: bool = False
 
     @property
     def names(self) -> list[str]:
@@ -60,7 +61,7 @@ class Resource:
         for f in self.fields:
             if f["name"] == name:
                 return f
-        raise StepError(f'Field "{name}" not found in resource "{self.name}". Available fields: {sorted(self.names)}')
+        raise StepError(f"{self.name!r} has no field {name!r} (not found among {sorted(self.names)})")
 
     def dtype(self, name: str) -> T.DataType:
         return self.df.schema[name].dataType
@@ -121,7 +122,7 @@ class Package:
         for r in self.resources:
             if r.name == name:
                 return r
-        raise StepError(f"Resource {name!r} not found. Available resources: {self.names}")
+        raise StepError(f"There is no resource {name!r} (not found among {self.names})")
 
     def selected(self, resources) -> list[str]:
         """Names that ``resources`` means: None all, a list those names, a string a full-match pattern."""
@@ -148,7 +149,7 @@ def from_frame(name: str, df: DataFrame, order_by: str | list[str] | None = None
     fields = tuple({"name": f.name, "type": logical_type(f.dataType)} | dict(f.metadata or {}) for f in df.schema if f.name != ROW_ID)
     if ROW_ID not in df.columns:
         df = df.select("*", row_id.alias(ROW_ID))
-    return Resource(name, df, fields, {"path": f"{name}.csv"} | (descriptor or {}))
+    return Resource(name, df, fields, {"path": f"{name}.csv"} | (descriptor or {}), stable=bool(keys))
 
 
 def namespaced(f: dict) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,23 +13,31 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset and all of Spark is on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tablewright-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def write(df: DataFrame, label: str) -> DataFrame:
-    spark = df.sparkSession
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed at the end of this process."""
     path = f"{root(spark)}/tablewright/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def write(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written once and read back: lineage ends here, and lost executors take nothing with them."""
+    path = folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def file_system(spark: SparkSession, path: str):
