@@ -284,14 +284,22 @@ def decimal_literal(value: Decimal) -> Column:
     return F.lit(format(value, "f")).cast(T.DecimalType(min(38, precision), scale))
 
 
+#: Numbers are held with 18 decimals; wide operands keep 19 digits before the point.
+_WIDE = T.DecimalType(37, 18)
+_RESULT = T.DecimalType(38, 18)
+MOST_FACTORS = 32
+
+
 def math_column(node: Node, scope: Scope) -> Column:
-    """Exact in decimals for + and -, and for * where 38 digits hold the product; else in doubles.
+    """Exact in decimals, with 18 digits after the point; in doubles where a field holds doubles.
 
-    Null in, null out; division by zero raises an error.
+    Products keep all their digits where the operands' types leave room for them, and 18
+    decimals otherwise, as quotients and powers by whole numbers do; powers by others are
+    doubles. Null in, null out; division by zero and numbers of 10^19 and more raise errors.
     """
     col, kind = _math_column(node, scope)
     if isinstance(kind, (T.DoubleType, T.FloatType)) and not _doubles(node, scope):
-        return col.cast("decimal(38,18)")
+        return col.cast(_RESULT)
     return col
 
 
@@ -311,16 +319,72 @@ def _math_column(node: Node, scope: Scope) -> tuple[Column, T.DataType]:
             raise StepError(f"Math needs numbers: the field {node.value!r} is {logical_type(kind)}")
         return (col.cast("decimal(19,0)"), T.DecimalType(19, 0)) if isinstance(kind, T.IntegralType) else (col, kind)
     (a, ka), (b, kb) = (_math_column(x, scope) for x in node.args)
-    exact = isinstance(ka, T.DecimalType) and isinstance(kb, T.DecimalType)
-    if node.value in "+-" and exact:
+    if isinstance(ka, T.DecimalType) and isinstance(kb, T.DecimalType):
+        made = _exact(node.value, a, ka, b, kb, node.args[1])
+        if made is not None:
+            return made
+    x, y = a.cast("double"), b.cast("double")
+    return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y, "^": lambda: F.pow(x, y)}[node.value](), T.DoubleType()
+
+
+def _exact(op: str, a: Column, ka: T.DecimalType, b: Column, kb: T.DecimalType, right: Node) -> tuple[Column, T.DataType] | None:
+    """The operation in decimals; None if it has to be in doubles."""
+    if op in "+-":
         scale = max(ka.scale, kb.scale)
-        kind = T.DecimalType(min(38, max(ka.precision - ka.scale, kb.precision - kb.scale) + scale + 1), scale)
-        return (a + b if node.value == "+" else a - b).cast(kind), kind
-    if node.value == "*" and exact and ka.precision + kb.precision + 1 <= 38:
+        precision = max(ka.precision - ka.scale, kb.precision - kb.scale) + scale + 1
+        if precision > 38:  # Spark would give up digits after the point for digits before it
+            a, b, scale, precision = a.cast(_WIDE), b.cast(_WIDE), 18, 38
+        kind = T.DecimalType(precision, scale)
+        return (a + b if op == "+" else a - b).cast(kind), kind
+    if op == "*":
+        return _product(a, ka, b, kb)
+    if op == "/":
+        return _quotient(a.cast(_RESULT), b.cast(_RESULT)), _RESULT
+    n = right.value if right.kind == "number" else None
+    if n is None or n != n.to_integral_value() or abs(n) > MOST_FACTORS:
+        return None
+    out: tuple[Column, T.DataType] = (F.when(a.isNotNull(), F.lit(1).cast("decimal(1,0)")), T.DecimalType(1, 0))
+    for digit in bin(abs(int(n)))[2:]:
+        out = _product(*out, *out)
+        out = _product(*out, a, ka) if digit == "1" else out
+    return out if n >= 0 else (_quotient(F.lit(1).cast(_RESULT), out[0].cast(_RESULT)), _RESULT)
+
+
+def _product(a: Column, ka: T.DecimalType, b: Column, kb: T.DecimalType) -> tuple[Column, T.DataType]:
+    if ka.precision + kb.precision + 1 <= 38:
         kind = T.DecimalType(ka.precision + kb.precision + 1, ka.scale + kb.scale)
         return (a * b).cast(kind), kind
-    if node.value == "*" and exact and min(ka.precision, kb.precision) <= 12:
-        kind = T.DecimalType(38, min(18, ka.scale + kb.scale))
-        return (a * b).cast(kind), kind
-    x, y = a.cast("double"), b.cast("double")
-    return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y, "^": lambda: F.pow(x, y)}[node.value](), T.DoubleType()
+    return _wide_product(a.cast(_RESULT), b.cast(_RESULT)), _RESULT
+
+
+def _bound(columns: list[Column], fn) -> Column:
+    """fn(columns), each of them computed once, however often fn uses it."""
+    held = F.array(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)]))
+    return F.element_at(F.transform(held, lambda h: fn(*[h[f"c{k}"] for k in range(len(columns))])), 1)
+
+
+def _wide_product(a: Column, b: Column) -> Column:
+    """The product of two decimal(38,18): whole parts and fractions multiply apart, as one product of that type keeps 6 decimals only."""
+
+    def multiply(a: Column, b: Column) -> Column:
+        whole = lambda x: F.floor(x).cast("decimal(19,0)")
+        rest = lambda x: (x.cast(_WIDE) - whole(x)).cast("decimal(18,18)")
+        parts = [whole(a) * whole(b), whole(a) * rest(b), rest(a) * whole(b), rest(a) * rest(b)]
+        total = parts[0].cast(_WIDE)
+        for p in parts[1:]:
+            total = (total + p.cast(_WIDE)).cast(_WIDE)
+        return total
+
+    return _bound([a, b], multiply).cast(_RESULT)
+
+
+def _quotient(a: Column, b: Column) -> Column:
+    """The quotient of two decimal(38,18), in two steps: Spark's has 6 decimals, what it leaves gives the next 12."""
+
+    def divide(a: Column, b: Column) -> Column:
+        first = (a / b).cast(_WIDE)
+        left = (a.cast(_WIDE) - _wide_product(first, b).cast(_WIDE)).cast(_WIDE)
+        more = ((left * F.lit(10**12).cast("decimal(13,0)")).cast(_RESULT) / b).cast("decimal(24,6)")
+        return (first + (more * F.lit(Decimal("0.000000000001"))).cast(_WIDE)).cast(_WIDE)
+
+    return _bound([a, b], divide).cast(_RESULT)
