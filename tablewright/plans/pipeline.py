@@ -17,7 +17,7 @@ Step = Callable[[Package], Package]
 STEPS: dict[str, Callable[..., Package]] = {
     f.__name__: f
     for f in (
-        load.load, load.inline, dump.dump_to_path, dump.dump_to_s3,
+        load.load, load.standard_load_multiple, load.inline, dump.dump_to_path, dump.dump_to_s3,
         fields.rename_fields, fields.rename_fields_regex, fields.reorder_fields, fields.delete_fields, fields.update_fields, fields.add_schema_metadata, fields.set_types,
         fields.update_package, fields.update_resource, fields.remove_resources, fields.rename_resource,
         rows.boolean_filter_rows, rows.boolean_add_computed_field, rows.add_computed_field, rows.edit_cells, rows.sort,
@@ -25,7 +25,7 @@ STEPS: dict[str, Callable[..., Package]] = {
         numbers.round_fields, numbers.convert_units, numbers.convert_to_decimal_degrees, dates.convert_date,
         joins.join, combine.concatenate, combine.duplicate, combine.unpivot,
     )
-} | {"standard_load_multiple": load.load}
+}
 
 #: Parameters that only told a runner where to report progress.
 IGNORED = {"cache_id", "loader_cache_id", "infer_strategy", "cast_strategy", "force-format", "recursion_limit", "submission_id", "submission_ids", "preserve_formatting", "scheme"}
@@ -46,7 +46,12 @@ def step(name: str, parameters: dict | None = None) -> Step:
     missing = [k for k, p in list(known.items())[1:] if p.default is p.empty and p.kind not in (p.VAR_KEYWORD, p.VAR_POSITIONAL) and k not in given]
     if missing:
         raise StepError(f"{short}: missing parameters {missing}")
-    return lambda package: fn(package, **given)
+
+    def run(package: Package) -> Package:
+        return fn(package, **given)
+
+    run.__name__ = short
+    return run
 
 
 @dataclass(frozen=True)
@@ -62,26 +67,36 @@ class Results:
 
 
 class Flow:
-    """Steps, lists of rows, resources, and functions from package to package, in order."""
+    """Steps, lists of rows, resources, and functions from package to package, in order.
 
-    def __init__(self, *parts):
-        self.parts = parts
+    ``progress(number, of, name, package)`` is called after each part: plans stay lazy, so
+    it tells what is planned, and for steps that write, what is done.
+    """
+
+    def __init__(self, *parts, progress: Callable[[int, int, str, Package], None] | None = None):
+        self.parts, self.progress = parts, progress
 
     def run(self, package: Package | None = None) -> Package:
         package = package or Package()
-        for part in self.parts:
-            if isinstance(part, Flow):
-                package = part.run(package)
-            elif isinstance(part, Resource):
-                package = package.with_resources([*package.resources, part])
-            elif isinstance(part, (list, tuple)):
-                package = load.inline(package, list(part))
-            elif isinstance(part, dict):
-                package = step(part["run"], part.get("parameters"))(package)
-            else:
-                package = part(package)
+        for k, part in enumerate(self.parts, 1):
+            package = self._one(part, package)
+            if self.progress:
+                name = part["run"] if isinstance(part, dict) else getattr(part, "__name__", type(part).__name__)
+                self.progress(k, len(self.parts), name, package)
         return package
 
+    @staticmethod
+    def _one(part, package: Package) -> Package:
+        if isinstance(part, Flow):
+            return part.run(package)
+        if isinstance(part, Resource):
+            return package.with_resources([*package.resources, part])
+        if isinstance(part, (list, tuple)):
+            return load.inline(package, list(part))
+        if isinstance(part, dict):
+            return step(part["run"], part.get("parameters"))(package)
+        return part(package)
+
     def results(self) -> Results:
         """The package with every cell cast to its field's type. Plans stay lazy until rows are asked for."""
         package = self.run()

@@ -1,15 +1,15 @@
 """The dump step: tables as text files with a descriptor beside them.
 
-Executors write a table's parts in parallel, in row order; the parts are then joined
-into one file by copying bytes, whose hash is taken on the way. ``single_file: false``
-leaves the parts as they are.
+Executors write a table's parts in parallel, in row order. Up to ``merge_bytes`` in all
+they are then joined into one file by copying bytes, whose hash is taken on the way;
+larger tables stay a folder of parts, which the descriptor says and load reads again.
+``single_file`` true or false decides it for tables of any size.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,8 @@ from tablewright.sources.load import session
 
 #: Prefixes with more files than this are never cleared.
 MOST_DELETED = 10
+#: Tables of more bytes stay in parts: one file's bytes pass through the driver.
+MERGE_BYTES = 1 << 30
 # Identifiers of the standard names of latitude and longitude.
 LATITUDE, LONGITUDE = "730", "731"
 
@@ -54,7 +56,7 @@ def _dump(p: Package, root: str, options: dict) -> Package:
         r = cast_resource(r)
         path = os.path.splitext(str(r.descriptor.get("path", r.name)))[0] + f".{fmt}"
         props = write_table(r, f"{root}/{path}", fmt, options)
-        stats[r.name] = props
+        stats[r.name] = {k: v for k, v in props.items() if k != "dialect"}
         r = replace(r, descriptor=r.descriptor | {"path": path, "format": fmt, "encoding": "utf-8"} | props)
         prop = options.get("temporal_format_property")
         if prop:
@@ -104,33 +106,40 @@ def json_line(r: Resource) -> F.Column:
         if isinstance(kind, T.DecimalType):  # as many digits as there are
             col = F.parse_json(F.when(col.isNotNull(), output_text(r, f)))
         cells.append(col.alias(f["name"]))
-    return F.concat(F.lit(","), F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}))
+    return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
 
 
 def write_table(r: Resource, path: str, fmt: str, options: dict) -> dict:
-    """Write one table; its row count, bytes and hash."""
+    """Write one table; its row count, bytes, hash (of single files) and, of parts, dialect."""
     spark = r.df.sparkSession
     if fmt == "csv":
         titles = [f.get("title", f["name"]) if options.get("use_titles") else f["name"] for f in r.fields]
         quote = lambda s: '"' + s.replace('"', '""') + '"' if any(c in s for c in ',"\r\n') else s
         lines, first, last, skip = csv_line(r, options.get("temporal_format_property")), ",".join(map(quote, titles)) + "\n", "", 0
+        joined = lines
     else:
         lines, first, last, skip = json_line(r), "[", "]", 1
+        joined = F.concat(F.lit(","), lines)
     ordered = r.df.orderBy(ROW_ID) if options.get("ordered", True) else r.df
-    counted = ordered.select(lines.alias("value"))
     from pyspark.sql import Observation
 
-    seen = Observation()
-    counted = counted.observe(seen, F.count(F.lit(1)).alias("n"))
-    if not options.get("single_file", True):
-        counted.write.mode("overwrite").text(path, lineSep="\n")
-        size = _size(spark, path)
-        return {"count_of_rows": seen.get["n"], "bytes": size, "hash": None}
-    parts = f"{scratch.root(spark)}/tablewright/{uuid.uuid4().hex}-parts"
-    counted.write.text(parts, lineSep="\n")
-    digest, size = merge(spark, parts, path, first, last, skip)
-    scratch.delete(spark, parts)
-    return {"count_of_rows": seen.get["n"], "bytes": size, "hash": digest}
+    def written(line: F.Column, where: str) -> int:
+        """Rows written."""
+        seen = Observation()
+        ordered.select(line.alias("value")).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(where, lineSep="\n")
+        return seen.get["n"]
+
+    single, most = options.get("single_file"), int(options.get("merge_bytes", MERGE_BYTES))
+    if single is not False:
+        parts = scratch.folder(spark, "parts")
+        rows = written(joined, parts)
+        if single or _size(spark, parts) <= most:
+            digest, size = merge(spark, parts, path, first, last, skip)
+            scratch.delete(spark, parts)
+            return {"count_of_rows": rows, "bytes": size, "hash": digest}
+        scratch.delete(spark, parts)
+    rows = written(lines, path)
+    return {"count_of_rows": rows, "bytes": _size(spark, path), "hash": None, "dialect": {"parts": True, "header": False}}
 
 
 def _size(spark: SparkSession, path: str) -> int:
@@ -163,10 +172,10 @@ def merge(spark: SparkSession, parts: str, path: str, first: str, last: str, ski
     return bytes(md5.digest()).hex(), to.getFileStatus(target).getLen()
 
 
-def write_text(spark: SparkSession, path: str, content: str) -> None:
+def write_text(spark: SparkSession, path: str, content: str | bytes) -> None:
     target, fs = scratch.file_system(spark, path)
     out = fs.create(target, True)
-    out.write(bytearray(content.encode()))
+    out.write(bytearray(content.encode() if isinstance(content, str) else content))
     out.close()
 
 

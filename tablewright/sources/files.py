@@ -26,6 +26,11 @@ def head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
+def size(spark: SparkSession, path: str) -> int:
+    where, fs = file_system(spark, location(path))
+    return fs.getContentSummary(where).getLength()
+
+
 def whole(spark: SparkSession, path: str) -> bytes:
     """All bytes of a file, on the driver: for workbooks and descriptors only."""
     return head(spark, path, 2**31 - 1)

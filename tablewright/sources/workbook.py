@@ -10,9 +10,10 @@ from xml.etree import ElementTree
 
 from tablewright.package import StepError
 
+# Names of the format, and its built-in numbers of date and time formats.
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-_DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 
 
 class Workbook:
@@ -37,19 +38,13 @@ class Workbook:
         if "xl/styles.xml" not in self.zip.namelist():
             return set()
         styles = self._xml("xl/styles.xml")
-        own = {int(f.get("numFmtId")) for f in styles.iter(f"{_NS}numFmt") if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "").lower()))}
+        own = {int(f.get("numFmtId")) for f in styles.iter(f"{_NS}numFmt") if date_format(f.get("formatCode", ""))}
         cells = next(styles.iter(f"{_NS}cellXfs"), [])
-        return {k for k, x in enumerate(cells) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | own}
+        return {k for k, x in enumerate(cells) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
 
     def sheet(self, which: str | int) -> list[list[str | None]]:
         """Rows of a sheet by name or number (from 1), cells as text."""
-        names = list(self.sheets)
-        if isinstance(which, int) or str(which).isdigit() and str(which) not in self.sheets:
-            if not 1 <= int(which) <= len(names):
-                raise StepError(f"There is no sheet {which}; the workbook has {len(names)}")
-            which = names[int(which) - 1]
-        if which not in self.sheets:
-            raise StepError(f"There is no sheet {which!r}; there are {names}")
+        which = sheet_name(list(self.sheets), which)
         rows: list[list[str | None]] = []
         for row in self._xml(self.sheets[which]).iter(f"{_NS}row"):
             at = int(row.get("r", len(rows) + 1))
@@ -75,12 +70,31 @@ class Workbook:
             return "True" if value.text == "1" else "False"
         if kind != "n":
             return value.text
-        number = float(value.text)
-        if int(c.get("s", 0)) in self.dates:
-            when = self.epoch + dt.timedelta(days=number)
-            when = (when + dt.timedelta(microseconds=500)).replace(microsecond=0)
-            return str(when)
-        return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
+        return number_cell(float(value.text), self.epoch if int(c.get("s", 0)) in self.dates else None)
+
+
+def number_cell(number: float, epoch: dt.datetime | None) -> str:
+    """A number's text; with an epoch, that of the time so many days after it."""
+    if epoch is not None:
+        when = epoch + dt.timedelta(days=number)
+        return str((when + dt.timedelta(microseconds=500)).replace(microsecond=0))
+    return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
+
+
+def date_format(code: str) -> bool:
+    """Whether a number format's code shows dates or times."""
+    return bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", code.lower())))
+
+
+def sheet_name(names: list[str], which: str | int) -> str:
+    """A sheet's name, from its name or number (from 1)."""
+    if isinstance(which, int) or str(which).isdigit() and str(which) not in names:
+        if not 1 <= int(which) <= len(names):
+            raise StepError(f"There is no sheet {which}; the workbook has {len(names)}")
+        return names[int(which) - 1]
+    if which not in names:
+        raise StepError(f"There is no sheet {which!r}; there are {names}")
+    return which
 
 
 def _column(ref: str) -> int:
