@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,6 @@ from tablewright.package import Package, Resource, StepError, quoted
 from tablewright.plans.pipeline import Flow, Step, step
 from tablewright.schema import cast_resource
 from tablewright.sinks import dump
-from tablewright.streaming import apply_steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -290,12 +288,6 @@ def join_deduplicate(t):
     return run(t("orders"), step("set_types", {"types": {"o_totalprice": MONEY}}), step("join", {"source": {"name": "orders", "key": ["o_orderstatus"], "delete": True}, "target": {"name": "orders", "key": None}, "fields": fields}))["orders"]
 
 
-@query("SELECT nationkey, suppliers, part FROM (SELECT s_nationkey AS nationkey, count(*) AS suppliers, max_by(s_name, s_suppkey) AS part FROM supplier GROUP BY s_nationkey)")
-def join_star(t):
-    fields = {"nationkey": {"name": "s_nationkey"}, "suppliers": {"aggregate": "count"}, "part": {"name": "s_name", "aggregate": "last"}}
-    return run(t("supplier"), step("join", {"source": {"name": "supplier", "key": "{s_nationkey}", "delete": True}, "target": {"name": "supplier", "key": None}, "fields": fields}))["supplier"]
-
-
 def _per_user(t, fields: dict) -> Resource:
     return run(t("events"), step("set_types", {"types": {"value": MONEY}}), step("join", {"source": {"name": "events", "key": ["user_id"], "delete": True}, "target": {"name": "events", "key": None}, "fields": {"user": {"name": "user_id"}} | fields}))["events"]
 
@@ -376,7 +368,7 @@ def unique_lat_lon(t):
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{scratch.root(spark)}/tablewright/{uuid.uuid4().hex}-dump"
+    return scratch.folder(spark, "dump")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
@@ -410,29 +402,23 @@ def load_regex_csv(t):
 # --- checks --------------------------------------------------------------------------------------
 
 
-@query("SELECT 'header-name-invalid' AS \"check\", 'nation' AS resource, CAST(NULL AS BIGINT) AS \"row\", n AS field, m AS message FROM (VALUES ('2nd', 'Column 2 starts with a number'), ('_a b', 'Column 1 starts with an underscore.'), ('_a b', 'Column 1 contains a character other than numbers, letters, and underscores.')) v(n, m)")
+@query("SELECT 'header-name-invalid' AS \"check\", 'nation' AS resource, CAST(NULL AS BIGINT) AS \"row\", n AS field, m AS message FROM (VALUES ('2nd', 'The name of column 2 begins with a digit'), ('_a b', 'The name of column 1 begins with an underscore'), ('_a b', 'The name of column 1 holds other than letters, digits and underscores')) v(n, m)")
 def check_headers(t):
     names = step("rename_fields", {"fields": [{"old_field": "n_nationkey", "new_field": "_a b"}, {"old_field": "n_name", "new_field": "2nd"}]})
     return checks.header_name_invalid(run(t("nation"), names))
 
 
-@query("SELECT 'latitude-bounds' AS \"check\", 'customer' AS resource, i AS \"row\", 'c_custkey' AS field, 'Latitude column c_custkey at row ' || i || ' is not between -90 and 90' AS message FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) WHERE c_custkey >= 90")
+@query("SELECT 'latitude-bounds' AS \"check\", 'customer' AS resource, i AS \"row\", 'c_custkey' AS field, 'Latitude c_custkey, row ' || i || ': not inside -90 and 90' AS message FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) WHERE c_custkey >= 90")
 def check_latitude(t):
     return checks.latitude_bounds(run(t("customer")), "c_custkey")
 
 
 @query(
-    "SELECT CASE WHEN c IN (133, 160) THEN 'non-standard-whitespace-character' ELSE 'non-standard-character' END AS \"check\", doc_id FROM"
-    " (SELECT doc_id, unicode(regexp_extract(text, '[^\\x{0}-\\x{80}]')) AS c, regexp_extract(text, '[^\\x{0}-\\x{80}]') AS ch FROM documents) WHERE ch <> ''"
+    "SELECT CASE WHEN c IN (133, 160) THEN 'non-standard-whitespace-character' ELSE 'non-standard-character' END AS \"check\", \"row\", 'text' AS field FROM"
+    " (SELECT row_number() OVER (ORDER BY doc_id) AS \"row\", unicode(regexp_extract(text, '[^\\x{0}-\\x{80}]')) AS c, regexp_extract(text, '[^\\x{0}-\\x{80}]') AS ch FROM documents) WHERE ch <> ''"
 )
 def check_characters(t):
-    p = run(t("documents"), only("documents", "doc_id", "text"))
-    found = checks.non_standard_character(p)
-    from tablewright import order
-    from tablewright.package import ROW_ID
-
-    ids = order.numbered(p["documents"]).df.select(F.col(ROW_ID).alias("row"), "doc_id")
-    return found.join(ids, "row").select("check", "doc_id")
+    return checks.non_standard_character(run(t("documents"), only("documents", "doc_id", "text"))).select("check", "row", "field")
 
 
 # --- whole pipelines -----------------------------------------------------------------------------
@@ -450,19 +436,11 @@ def customer_orders(t):
     return plain(r).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query("SELECT event_id, lower(event_type) || ':' || user_id AS label FROM events WHERE value > 10")
-def stream_steps(t):
-    """The same steps that run on streams, here over a batch."""
-    spark = SparkSession.getActiveSession()
-    steps = [{"run": "boolean_filter_rows", "parameters": {"boolean_statement": "{value} > 10"}}, {"run": "string_format", "parameters": {"fields": [{"output_field": "label", "input_string": "{}:{}", "input_fields": ["event_type", "user_id"]}]}}]
-    return apply_steps(spark.read.parquet(f"{t.sf_dir}/events.parquet"), steps).select("event_id", "label")
-
-
-ORACLE_SQL["stream_steps"] = ORACLE_SQL["stream_steps"].replace("lower(event_type)", "event_type")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["customer_orders"](spark, sf_dir)
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "StepError", "flagship"]
+
+# the rest of the catalog registers itself
+from tablewright import catalog_files, catalog_rules  # noqa: E402, F401

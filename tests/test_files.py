@@ -9,7 +9,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright import Flow, StepError, checks, step
+from tablewright import Flow, StepError, checks, samples, scratch, step
+from tablewright.sources import load as sources
 from tablewright.sinks.dump import unique_lat_lon
 from tablewright.sources.load import infer_widths
 from tablewright.streaming import apply_steps, run_stream
@@ -140,6 +141,39 @@ def test_workbook_cells(tmp_path):
     assert load(workbook(tmp_path), sheet="First One")["res"].rows() == [{"name": "ann", "n": "0.1", "when": "2019-02-14 12:00:00"}]
 
 
+def test_older_workbooks(tmp_path):
+    """Texts that go over several records, short numbers, gaps, and sheets by number."""
+    sheets = {"Ünï": [["name", "n", "x"], ["ann", 5, 0.25], [None, -7, "long " * 900], ["ü€" * 800, 123456, 2.5]], "two": [["q"], [3]]}
+    want = [{"name": "ann", "n": "5", "x": "0.25"}, {"name": None, "n": "-7", "x": "long " * 900}, {"name": "ü€" * 800, "n": "123456", "x": "2.5"}]
+    for name, data in (("a.xlsx", samples.xlsx(sheets)), ("a.xls", samples.xls(sheets)), ("b.xls", samples.xls(sheets, 301)), ("a.xml", samples.excel_xml(sheets))):
+        (tmp_path / name).write_bytes(data)
+        more = {"format": "excel-xml"} if name.endswith("xml") else {}
+        assert load(str(tmp_path / name), **more)["res"].rows() == want
+        assert load(str(tmp_path / name), sheet=2, **more)["res"].rows() == [{"q": "3"}]
+    with pytest.raises(StepError):
+        load(put(tmp_path, "no.xls", "text"))
+
+
+def test_large_csv_is_split_unless_cells_hold_line_feeds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "ONE_TASK_BYTES", 10)
+    flat, deep = put(tmp_path, "flat.csv", 'a,b\n"x ""y""",2\n'), put(tmp_path, "deep.csv", 'a,b\n"x\ny",2\n')
+    assert not sources._multiline(spark, flat, "UTF-8", '"', None) and sources._multiline(spark, deep, "UTF-8", '"', None)
+    assert load(flat)["res"].rows() == [{"a": 'x "y"', "b": "2"}] and load(deep)["res"].rows() == [{"a": "x\ny", "b": "2"}]
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda s: type("S", (), {"getCheckpointDir": lambda s: type("O", (), {"isDefined": lambda s: False})()})()})()
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.root(Session())
+
+
 def test_json_and_packages(tmp_path):
     assert load(put(tmp_path, "a.json", '[{"a": 1, "b": "x"}, {"a": null, "b": "y"}]'))["res"].rows() == [{"a": "1", "b": "x"}, {"a": None, "b": "y"}]
     assert load(put(tmp_path, "b.jsonl", '{"a": 1}\n{"a": 2}\n'))["res"].rows() == [{"a": "1"}, {"a": "2"}]
@@ -229,7 +263,7 @@ def test_checks():
     assert [(r["field"], r["row"]) for r in heads] == [("_x", None), ("2y", None)]
     found = checks.run_checks(p, [{"latitude-bounds": "lat"}, {"longitude-bounds": {"constraint": "lat"}}, "non-standard-character"]).orderBy("row", "field").collect()
     assert [(r["check"], r["row"], r["field"]) for r in found] == [("non-standard-character", 1, "2y"), ("non-standard-whitespace-character", 2, "_x"), ("latitude-bounds", 2, "lat")]
-    assert found[0]["message"] == "Non standard character 233 found"
+    assert found[0]["message"] == "Character 233 is not a standard one"
     with pytest.raises(StepError):
         checks.run_checks(p, ["nothing"])
 
