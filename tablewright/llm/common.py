@@ -7,57 +7,52 @@ never takes decisions with it.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.scratch import write as materialize
+
 #: Stands in for a null id wherever ids are compared: smaller than any real one.
 NULL_ID = -(2**63)
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tablewright-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tablewright/{uuid.uuid4().hex}-{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
+@contextlib.contextmanager
+def one_blas_thread():
+    """Linear algebra in the calling thread alone.
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def clear_scratch() -> None:
-    """Remove every scratch table of this process; results read from them are gone after it."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            delete_path(spark, path)
-        except Exception:  # the JVM may have ended before us
-            return
+    The driver forks when it starts the JVM, and a BLAS library that has threads of its own
+    can wait for ever for one of them afterwards. Where the library or its switch isn't
+    found, nothing changes.
+    """
+    import numpy  # noqa: F401  loads the library
+
+    put = got = None
+    with contextlib.suppress(OSError):
+        with open("/proc/self/maps") as maps:
+            paths = {line.split(maxsplit=5)[5].strip() for line in maps if re.search(r"/lib[^/]*(openblas|mkl_rt)[^/]*\.so", line)}
+        for path in sorted(paths):
+            library = ctypes.CDLL(path)
+            for prefix, suffix in (("scipy_openblas", "64_"), ("scipy_openblas", ""), ("openblas", "64_"), ("openblas", "")):
+                put, got = getattr(library, f"{prefix}_set_num_threads{suffix}", None), getattr(library, f"{prefix}_get_num_threads{suffix}", None)
+                if put and got:
+                    break
+            if put and got:
+                break
+    if not (put and got):
+        yield
+        return
+    before = got()
+    put(1)
+    try:
+        yield
+    finally:
+        put(before)
 
 
 def position(df: DataFrame, name: str) -> int:
@@ -129,10 +124,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     join; hot nodes only meet partial aggregates and joins that can be split.
     Every round is written to the shared folder. An empty table gives no rows.
     """
+
+    def print_of(e: DataFrame):
+        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = materialize(e, "edges")
-    seen = None
-    for _ in range(max_rounds):
+    seen = print_of(e)
+    for _ in range(max_rounds if seen[0] else 0):
         # large star: every neighbour above u hangs on the least node around u
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -147,11 +146,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         e = materialize(small, "star")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = print_of(e)
         if now == seen:
             break
         seen = now
     else:
-        raise RuntimeError("components did not settle")
+        if seen[0]:
+            raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()

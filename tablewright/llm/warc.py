@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NULL_ID, _written, pick, public_id, scratch_root
+from tablewright.llm.common import NULL_ID, pick, public_id
+from tablewright.scratch import folder
 
 MIN_BYTES = 1000
 RECORDS_PER_FILE = 2000
@@ -144,8 +144,7 @@ def deduplicate_archives(spark: SparkSession, source: str, target: str, min_byte
 def archived_pages(pages: DataFrame, min_bytes: int = MIN_BYTES, **columns) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of archives written and read back."""
     spark = pages.sparkSession
-    path = f"{scratch_root(spark)}/tablewright/{uuid.uuid4().hex}-warc"
-    _written.append((spark, path))
+    path = folder(spark, "warc")
     archive_pages(pages, path, min_bytes, **columns)
     back = resolve_revisits(read_archives(spark, path, with_payload=False))
     return back.select(public_id("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", public_id("refers_to").alias("refers_to"))
