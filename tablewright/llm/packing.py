@@ -3,8 +3,10 @@
 Documents become pieces of at most one sequence; piece lengths, rounded up to a unit,
 form a histogram whose size depends only on the sequence length. The driver solves
 the cutting-stock linear program over it: a knapsack dynamic program prices new
-patterns, patterns are rounded down and what is left is packed best-fit. Pieces are
-ranked within their length class by counters kept at tokenisation, so a pattern's
+patterns, patterns are rounded down and what is left is packed best-fit. After
+MAX_COLUMNS new patterns the program stops where it is: padding may then be more than
+least, no piece is lost. Nothing here multiplies matrices by BLAS, whose threads can
+hang in a driver that has forked. Pieces are ranked within their length class by counters kept at tokenisation, so a pattern's
 slots are assigned by arithmetic, without ordering the corpus.
 """
 
@@ -169,6 +171,22 @@ def greedy_basis(sizes: np.ndarray, need: np.ndarray, capacity: int) -> np.ndarr
     return columns
 
 
+def invert(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination, a row at a time."""
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        if both[p, k] == 0:
+            raise ValueError("the matrix has no inverse")
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        rows = np.flatnonzero(both[:, k])
+        rows = rows[rows != k]
+        both[rows] -= both[rows, k][:, None] * both[k]
+    return both[:, n:]
+
+
 def solve_patterns(demand: dict[int, int], capacity: int, max_columns: int = MAX_COLUMNS) -> list[tuple[dict[int, int], int]]:
     """[(pattern {class: count}, times)] that covers ``demand`` exactly, nearly without waste."""
     sizes = np.array(sorted(c for c, n in demand.items() if n > 0), np.int64)
@@ -176,14 +194,14 @@ def solve_patterns(demand: dict[int, int], capacity: int, max_columns: int = MAX
         return []
     need = np.array([demand[int(c)] for c in sizes], float)
     columns = greedy_basis(sizes, need, capacity)
-    inverse = np.linalg.inv(columns)
-    x = inverse @ need
+    inverse = invert(columns)
+    x = (inverse * need).sum(axis=1)
     for _ in range(max_columns):
         prices = inverse.sum(axis=0)
         worth, pattern = best_pattern(np.maximum(prices, 0), sizes, capacity)
         if worth <= 1 + 1e-7:
             break
-        direction = inverse @ pattern
+        direction = (inverse * pattern).sum(axis=1)
         up = direction > 1e-10
         if not up.any():
             break
@@ -249,8 +267,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int =
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
     Every id lies in one piece; offsets in a sequence have no gaps. Null and empty texts
-    are one piece holding the end id; repeated rows are packed as often as they occur;
-    an empty table gives no rows.
+    are one piece holding the end id; texts longer than a sequence are cut every
+    ``sequence`` ids; rows that repeat an id or a text are packed as often as they occur,
+    equal lengths in the order in which tasks met them; null ids stay null; other columns,
+    whatever their names, are ignored; an empty table gives no rows.
     """
     if sequence % unit:
         raise ValueError("the sequence length must be a multiple of the unit")

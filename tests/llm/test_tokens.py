@@ -124,6 +124,29 @@ def test_packing(spark):
     assert packing.pack(documents(spark, []), WORD).collect() == []
 
 
+def test_packing_many_lengths(spark):
+    """More than 500 classes of lengths; the driver's solver must not hang beside the JVM."""
+    rows = [(k, prose(k, 5 + 3 * k, per_line=10**6)) for k in range(650)]
+    out = packing.pack(documents(spark, rows, 4), WORD)
+    got = out.collect()
+    assert len({-(-r["length"] // packing.UNIT) for r in got}) > 300
+    assert len({r["sequence_id"] for r in got}) * 2048 <= 1.04 * sum(r["length"] for r in got) + 2048
+    demand = {c: 1 + c % 7 for c in range(1, 513)}
+    used = defaultdict(int)
+    for pattern, times in packing.solve_patterns(demand, 512):
+        for c, n in pattern.items():
+            used[c] += n * times
+    assert dict(used) == demand
+
+
+def test_packing_long_and_repeated_texts(spark):
+    """A text of many sequences, rows that repeat an id or all of a row, and ties of length."""
+    long = prose(3, 12_000)
+    rows = [(1, long), (1, long), (1, "other"), (None, "x y"), (None, None), (2, "tie one"), (3, "tie two"), (4, "")]
+    got = packing.pack(documents(spark, rows, 3), WORD).collect()
+    check_packing(rows, got, Tokenizer.from_file(WORD))
+
+
 def test_column_generation_covers_demand():
     rng = random.Random(8)
     for _ in range(10):
