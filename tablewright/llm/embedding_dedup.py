@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NULL_ID, connected_components, materialize, pick, public_id
+from tablewright.llm.common import NULL_ID, connected_components, materialize, one_blas_thread, pick, public_id
 from tablewright.llm.minhash_dedup import Forest, group_stream
 
 THRESHOLD = 0.98
@@ -26,13 +26,22 @@ STEPS = (8, 24)
 _SLACK = 1e-9
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest components near 1: no square under- or overflows, no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1))[1][..., None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(axis=-1))[..., None]
+
+
 def _second_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of outer products of unit vectors, by length: one row for each length and axis a task saw."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for v in batch.column("vec").to_pylist():
-            x = np.array(v, float)
-            x /= np.sqrt(x @ x)
+            x = unit(np.array(v, float))
             held = sums.setdefault(len(x), np.zeros((len(x), len(x))))
             held += np.outer(x, x)
     rows = [(d, i, m[i].tolist()) for d, m in sums.items() for i in range(d)]
@@ -47,7 +56,8 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     out: dict[int, np.ndarray] = {d: np.zeros((d, d)) for d in {c["dims"] for c in cells}}
     for c in cells:
         out[c["dims"]][c["i"], c["j"]] = c["s"]
-    return {d: np.linalg.eigh((m + m.T) / 2)[1][:, ::-1] for d, m in out.items()}
+    with one_blas_thread():
+        return {d: np.linalg.eigh((m + m.T) / 2)[1][:, ::-1] for d, m in out.items()}
 
 
 def _tiles(axes: dict[int, np.ndarray], width: float):
@@ -60,7 +70,7 @@ def _tiles(axes: dict[int, np.ndarray], width: float):
             for label, cls, vec in zip(batch.column("label").to_pylist(), batch.column("cls").to_pylist(), batch.column("vec").to_pylist(), strict=True):
                 x = np.array(vec, float)
                 d = len(x)
-                p = (x / np.sqrt(x @ x)) @ axes[d][:, : min(2, d)]
+                p = unit(x) @ axes[d][:, : min(2, d)]
                 c = [int(np.floor(v / width)) for v in p] + [0] * (2 - len(p))
                 rows += [(label, d, c[0] + i, c[1] + j, i == j == 0, cls) for i, j in [(0, 0), *around]]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
@@ -93,8 +103,8 @@ def _compare(axes: dict[int, np.ndarray], threshold: float, slice_rows: int = 10
         for group in group_stream(batches, ["label", "dims", "c1", "c2", "i", "j"]):
             cls, copies, home, part = (group.column(c).to_numpy() for c in ("cls", "copies", "home", "part"))
             lo, hi = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            x = np.array(group.column("vec").to_pylist(), float)
-            u = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ axes[x.shape[1]]
+            x = scaled(np.array(group.column("vec").to_pylist(), float))
+            u = unit(x) @ axes[x.shape[1]]
             links, forest = np.zeros(len(cls), np.int64), Forest(len(cls))
             # every pair once: home with home, home with visitor; of two blocks only pairs across
             first = np.flatnonzero(home)
@@ -105,12 +115,17 @@ def _compare(axes: dict[int, np.ndarray], threshold: float, slice_rows: int = 10
                 fit = (home[j] & (cls[i] < cls[j])) | ~home[j]
                 if lo != hi:
                     fit &= part[i] != part[j]
-                for a, b in zip(i[fit].tolist(), j[fit].tolist(), strict=True):
-                    links[a] += copies[b]
-                    links[b] += copies[a]
-                    forest.join(a, b)
-            joined = dict(forest.edges())
-            out = [(int(cls[k]), int(links[k]), int(cls[joined.get(k, k)])) for k in np.flatnonzero(links)]
+                i, j = i[fit], j[fit]
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                cut = np.flatnonzero(i[1:] != i[:-1]) + 1
+                for a, several in zip(i[np.concatenate([[0], cut])] if len(i) else (), np.split(j, cut), strict=False):
+                    for b in several[np.unique(forest.root[several], return_index=True)[1]]:
+                        forest.join(a, b)
+            first_of = {}
+            for k in np.flatnonzero(links):
+                first_of.setdefault(forest.root[k], k)
+            out = [(int(cls[k]), int(links[k]), int(cls[first_of[forest.root[k]]])) for k in np.flatnonzero(links)]
             columns = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["cls", "links", "root"])
 
@@ -123,8 +138,10 @@ def embedding_duplicates(
     """(vec_id, n_links, component_id, kept), a row for each vector.
 
     Vectors are compared where labels are equal and not null and lengths agree. Null, zero
-    and empty vectors and those with null or non-finite components link with nothing.
-    Repeated ids are vectors of their own; a null id is smaller than any other.
+    and empty vectors and those with null or non-finite components link with nothing;
+    very large and very small components do no harm. Repeated ids are vectors of their
+    own, equal vectors link whatever their ids; a null id is smaller than any other. Other
+    columns, whatever their names, are ignored; an empty table gives no rows.
     """
     vec = F.transform(F.col("vec"), lambda v: v.cast("double"))
     whole = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))

@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from tablewright.llm import common, minhash_dedup, substring_dedup
 from tests.llm.fixtures import awkward_documents, awkward_texts, documents, prose, rows_of
 
@@ -75,10 +77,49 @@ def test_edited_copies(spark):
 def test_large_groups_are_dealt_into_blocks(spark):
     rng, base = random.Random(12), prose(50, 150, per_line=10**6)
     rows = [(k, edited(base, 0.007, rng)) for k in range(90)] + [(k, prose(1000 + k, 60)) for k in range(100, 130)] + [(200 + k, base) for k in range(50)]
-    got = minhash_dedup.near_duplicates(documents(spark, rows, 4), long_list=10, block_docs=16, block_shingles=3000)
+    got = minhash_dedup.near_duplicates(documents(spark, rows, 4), block_docs=16, block_shingles=3000)
     assert rows_of(got, *COLUMNS) == brute(rows)
 
 
+def test_groups_of_many_blocks(spark):
+    """Dense groups, chains, and members that only look alike, in blocks of a few."""
+    rng, rows = random.Random(31), []
+    base = prose(51, 150, per_line=10**6)
+    rows += [(len(rows), edited(base, 0.007, rng)) for _ in range(70)]
+    chain = prose(52, 200, per_line=10**6)
+    for _ in range(60):
+        rows.append((len(rows), chain))
+        chain = edited(chain, 0.011, rng)
+    half = base.split(" ")
+    rows += [(len(rows), " ".join(half[:110] + prose(2000 + k, 25, 10**6).split(" "))) for k in range(60)]
+    rng.shuffle(rows)
+    for block in (3, 7):
+        got = minhash_dedup.near_duplicates(documents(spark, rows, 4), matches=10, block_docs=block, block_shingles=10**6)
+        assert rows_of(got, *COLUMNS) == brute(rows)
+
+
+def test_collisions_are_counted_exactly():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        n, c, matches = int(rng.integers(2, 60)), 12, int(rng.integers(4, 10))
+        sig = rng.integers(-3, 3, (n, c)).astype(np.int32)
+        alike = rng.integers(0, n, n) if rng.random() < 0.5 else None
+        forest = minhash_dedup.Forest(n, alike)
+        minhash_dedup.collided(sig, matches, forest)
+        links = [(x, y) for x in range(n) for y in range(x) if (sig[x] == sig[y]).sum() >= matches]
+        same = [(x, y) for x in range(n) for y in range(x) if alike is not None and alike[x] == alike[y]]
+        want, got = roots(n, links + same), forest.root.tolist()
+        assert all((want[x] == want[y]) == (got[x] == got[y]) for x in range(n) for y in range(n))
+        assert all((sig[x] == sig[y]).sum() >= matches for x, y in forest.made)
+
+
+def test_long_texts(spark):
+    """Very long texts, equal but for a few words, and a text of one word many times."""
+    rng, long = random.Random(33), prose(60, 30_000, per_line=40)
+    rows = [(1, long), (2, edited(long, 0.001, rng)), (3, "word " * 50_000), (4, "word " * 40_000), (5, prose(61, 30_000))]
+    assert rows_of(minhash_dedup.near_duplicates(documents(spark, rows)), *COLUMNS) == brute(rows)
+
+
 def test_empty(spark):
     assert minhash_dedup.near_duplicates(documents(spark, [])).collect() == []
     assert substring_dedup.substring_dedup(documents(spark, [])).collect() == []

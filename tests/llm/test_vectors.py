@@ -55,6 +55,14 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_duplicates(frame.where("vec_id < 0")).collect() == []
 
 
+def test_embeddings_of_extreme_size(spark):
+    """Squares of components would under- or overflow; columns of other names do no harm."""
+    rows = [(1, [1e-200, 0.0], 1), (2, [1e200, 1e199], 1), (3, [3.0, 0.3], 1), (4, [5e-324, 0.0], 1), (5, [-1e-200, 0.0], 1), (6, [1.7e308, 1.7e308], 1), (7, [0.0, 1e-300], 1)]
+    frame = spark.createDataFrame([(*r, 0, [1.0]) for r in rows], "vec_id long, embedding array<double>, label int, parts int, vec array<double>")
+    got = rows_of(embedding_dedup.embedding_duplicates(frame), "vec_id", "n_links", "component_id")
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 0, 6), (7, 0, 7)]
+
+
 def test_fingerprints(spark):
     rows, docs = awkward_documents(spark)
     rows = [(i, t) for i, t in rows if i is not None] + [(10**12, prose(4, 900)), (10**12 + 700, "x")]
