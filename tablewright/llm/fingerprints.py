@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NULL_ID, pick, public_id
+from tablewright.llm.common import NULL_ID, materialize, pick, public_id
 
 K, SHINGLE = 128, 5
 BUCKET_BITS = 8
+#: Texts of one id are dealt into windows by so many bits of their hashes.
+CHAIN_BITS = 16
 
 
 def shingle_hashes(text: Column, words: int = SHINGLE) -> Column:
@@ -105,28 +107,65 @@ def fingerprint_documents(docs: DataFrame, k: int = K, words: int = SHINGLE, id_
     return rows.withColumn("n_shingles", distinct_shingles(s, k))
 
 
+def _chains(rows: DataFrame, bits: int = CHAIN_BITS) -> tuple[DataFrame, DataFrame]:
+    """(ends, inside) of rows that share ids: each id's first and last text, and all its rows but the last with the text after each.
+
+    Texts of an id stand in order of their hash. Of rows with one id and text, all but one
+    are followed by their own text; the others go to windows of 2 ** -``bits`` of an id's
+    texts, whose ends are joined by their hashes alone. So no window holds all of an id.
+    """
+    # written, so that a row's number is the same wherever it is used
+    rows = materialize(rows.withColumns({"h": F.xxhash64("text"), "u": F.monotonically_increasing_id()}), "shared-ids")
+    last = rows.groupBy("doc", "h").agg(F.max("u").alias("last"))
+    rows = rows.join(last, ["doc", "h"])
+    again = rows.where("u <> last").select("doc", "text", F.col("text").alias("after"))
+    once = rows.where("u = last").select("doc", "h", "text", F.shiftright("h", 64 - bits).alias("hb"))
+    w = Window.partitionBy("doc", "hb").orderBy("h")
+    near = once.withColumns({"after": F.lead("text").over(w), "nth": F.row_number().over(w)})
+    heads = near.where("nth = 1").select("doc", "hb", F.col("text").alias("head"))
+    steps = heads.select("doc", "hb").withColumn("up", F.lead("hb").over(Window.partitionBy("doc").orderBy("hb")))
+    first = heads.join(heads.groupBy("doc").agg(F.min("hb").alias("hb")), ["doc", "hb"]).select("doc", F.col("head").alias("text"))
+    ends = near.where("after is null").select("doc", "hb", "text").join(steps, ["doc", "hb"])
+    jumps = ends.where("up is not null").join(heads.select("doc", F.col("hb").alias("up"), F.col("head").alias("after")), ["doc", "up"]).select("doc", "text", "after")
+    inside = near.where("after is not null").select("doc", "text", "after").unionByName(jumps).unionByName(again)
+    tails = ends.where("up is null").select("doc", "text")
+    return first.join(tails.withColumnRenamed("text", "tail"), "doc"), inside
+
+
 def edited_neighbours(docs: DataFrame, k: int = K, words: int = SHINGLE, bits: int = BUCKET_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text replaces the last floor(n_chars / 3) code points by the first as
     many (or all) of the document next in descending id; after the last comes the first.
     Rows go once by id bucket, where a window finds the next row; only the smallest id
-    of each bucket is looked up elsewhere. Repeated ids follow each other in text order;
-    null ids come after all others; a lone row is its own neighbour.
+    of each bucket is looked up elsewhere. Rows that share an id follow each other in the
+    order of their texts' hashes, and don't meet in one window; null ids come after all
+    others; a null text counts as empty; a lone row is its own neighbour. Long texts are
+    one row like others. Other columns, whatever their names, are ignored; an empty table
+    gives no rows.
     """
     rows = pick(docs, doc=id_col, text=text_col).select(
         F.coalesce(F.col("doc").cast("long"), F.lit(NULL_ID)).alias("doc"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.withColumn("b", F.shiftright("doc", bits))
-    w = Window.partitionBy("b").orderBy(F.col("doc").desc(), "text")
-    inside = rows.withColumns({"after": F.lead("text").over(w), "nth": F.row_number().over(w)})
+    shared = rows.groupBy("doc").count().where("count > 1").select("doc")
+    inside = None
+    ends = rows.withColumn("tail", F.lit(None).cast("string"))  # of an id with one row that is its text
+    if not shared.isEmpty():  # ids that several rows have are taken as one row, with the texts at both its ends
+        first, inside = _chains(rows.join(shared, "doc", "left_semi"))
+        ends = ends.join(shared, "doc", "left_anti").unionByName(first)
+    ends = ends.withColumn("b", F.shiftright("doc", bits))
+    w = Window.partitionBy("b").orderBy(F.col("doc").desc())
+    near = ends.withColumns({"after": F.lead("text").over(w), "nth": F.row_number().over(w)})
     # the first row of each bucket, for the last row of the bucket above it
-    heads = inside.where("nth = 1").select(F.col("b").alias("hb"), F.col("text").alias("head"))
-    above = next_lower(rows.select(F.col("b").alias("doc")).distinct(), bits).select(F.col("doc").alias("b"), F.col("next").alias("hb"))
-    open_ends = inside.where("after is null").drop("after", "nth")
+    heads = near.where("nth = 1").select(F.col("b").alias("hb"), F.col("text").alias("head"))
+    above = next_lower(rows.select(F.shiftright("doc", bits).alias("doc")).distinct(), bits).select(F.col("doc").alias("b"), F.col("next").alias("hb"))
+    own = F.coalesce("tail", "text").alias("text")
+    open_ends = near.where("after is null").select("b", "doc", own)
     closed = open_ends.join(above, "b").join(heads, "hb").select("doc", "text", F.col("head").alias("after"))
-    both = inside.where("after is not null").select("doc", "text", "after").unionByName(closed)
+    both = near.where("after is not null").select("doc", own, "after").unionByName(closed)
+    if inside is not None:
+        both = both.unionByName(inside)
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     both = both.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("after", F.lit(1), cut)))

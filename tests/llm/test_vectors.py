@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import re
+import struct
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tablewright.llm import embedding_dedup, fingerprints
@@ -63,46 +66,69 @@ def test_embeddings_of_extreme_size(spark):
     assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 0, 6), (7, 0, 7)]
 
 
-def test_fingerprints(spark):
-    rows, docs = awkward_documents(spark)
-    rows = [(i, t) for i, t in rows if i is not None] + [(10**12, prose(4, 900)), (10**12 + 700, "x")]
-    docs = documents(spark, rows)
-    out = fingerprints.edited_neighbours(docs).collect()
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (-r[0], r[1]))
-    want, found = [], []
+def signed(h):
+    return h - 2**64 if h >= 2**63 else h
+
+
+def text_hash(text):
+    return signed(xxhash.xxh64_intdigest(text.encode(), seed=42))
+
+
+def sketch_of(text, k=128):
+    words = [text_hash(w) for w in re.split("[ \t\n\x0b\x0c\r]+", text) if w]
+    found = set()
+    for part in [words[i : i + 5] for i in range(len(words) - 4)] or ([words] if words else []):
+        h = 42 if len(words) >= 5 else 0
+        for w in part:
+            if len(words) >= 5:
+                h = xxhash.xxh64_intdigest(struct.pack("<q", w), seed=h)
+            else:
+                h = xxhash.xxh64_intdigest(struct.pack("<q", w), seed=xxhash.xxh64_intdigest(struct.pack("<q", signed(h)), seed=42))
+        found.add(signed(h))
+    return sorted(found)[:k]
+
+
+def likeness(a, b, k=128):
+    union = sorted(set(a) | set(b))[:k]
+    return len(set(union) & set(a) & set(b)) / len(union) if union else 1.0
+
+
+def brute_neighbours(rows, low=-(2**63)):
+    """Every column of edited_neighbours, from the definition alone."""
+    order = sorted(((low if i is None else i, t or "") for i, t in rows), key=lambda r: (-r[0], text_hash(r[1])))
+    out = []
     for k, (i, t) in enumerate(order):
         after, cut = order[(k + 1) % len(order)][1], len(t) // 3
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
-    for r in out:
-        found.append((r["doc_id"], r["n_chars"], r["edited_sha256"]))
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert sorted(found) == sorted(want)
-    by_text = {}
-    texts = {}
-    for i, t in order:
-        texts.setdefault(i, set()).add(t)
-    for r in out:
-        if len(texts[r["doc_id"]]) == 1:
-            by_text.setdefault(next(iter(texts[r["doc_id"]])), set()).add(r["fingerprint"])
-    assert all(len(v) == 1 for v in by_text.values())
+        edited = t[: len(t) - cut] + after[:cut]
+        a, e, x = sketch_of(t), sketch_of(edited), sketch_of(after)
+        show = lambda s: "".join(f"{h % 2**64:016X}" for h in s)
+        out.append((None if i == low else i, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(e), likeness(a, e), likeness(a, x)))
+    return sorted(out, key=repr)
+
+
+NEIGHBOURS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def test_fingerprints(spark):
+    rows, docs = awkward_documents(spark)
+    assert rows_of(fingerprints.edited_neighbours(docs), *NEIGHBOURS) == brute_neighbours(rows)
+    plain = [(k * 7, prose(k, 3 + 9 * k)) for k in range(60)] + [(10**12, prose(4, 900)), (10**12 + 700, "x"), (-1, "below zero"), (-(10**9), prose(5, 40))]
+    assert rows_of(fingerprints.edited_neighbours(documents(spark, plain)), *NEIGHBOURS) == brute_neighbours(plain)
     assert fingerprints.edited_neighbours(documents(spark, [])).collect() == []
     lone = fingerprints.edited_neighbours(documents(spark, [(5, "one two three four five six")])).collect()
     assert len(lone) == 1 and lone[0]["near_next"] == 1.0
 
 
-def test_fingerprints_of_null_and_negative_ids(spark):
-    """Ids of both signs finish; null ids come after all others, in text order."""
-    low = -(2**63)
-    rows, _ = awkward_documents(spark)
-    for more in ([], [(-1, "below zero"), (-(10**9), prose(5, 40)), (10**12, prose(6, 40)), (0, "zero")]):
-        at = rows + more
-        order = sorted(((low if i is None else i, t or "") for i, t in at), key=lambda r: (-r[0], r[1]))
-        want = []
-        for k, (i, t) in enumerate(order):
-            after, cut = order[(k + 1) % len(order)][1], len(t) // 3
-            want.append((None if i == low else i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
-        assert rows_of(fingerprints.edited_neighbours(documents(spark, at)), "doc_id", "n_chars", "edited_sha256") == sorted(want, key=repr)
-    ids = [low, -5, -1, 0, 3, 700]
+def test_fingerprints_of_ids_that_many_rows_share(spark):
+    """Rows of one id, null too, meet in no single window; copies of one text follow each other."""
+    rows = [(None, prose(k % 40, 12)) for k in range(120)] + [(4, prose(200 + k, 10)) for k in range(50)] + [(k, prose(300 + k, 15)) for k in range(5, 20)] + [(4, "same")] * 20 + [(None, None)] * 3
+    for docs in (documents(spark, rows, 5), documents(spark, rows[120:170], 2), documents(spark, [(7, "a b"), (7, "a b")])):
+        at = [(r["doc_id"], r[1]) for r in docs.collect()]
+        assert rows_of(fingerprints.edited_neighbours(docs), *NEIGHBOURS) == brute_neighbours(at)
+
+
+def test_next_lower_crosses_zero(spark):
+    ids = [-(2**63), -5, -1, 0, 3, 700]
     below = fingerprints.next_lower(spark.createDataFrame([(i,) for i in ids], "doc long")).collect()
     assert sorted(map(tuple, below)) == [(i, ids[k - 1]) for k, i in enumerate(ids)]
 
