@@ -1,19 +1,22 @@
 """Substring dedup: digests of normalised units, the earliest ranked occurrence stays.
 
-A text's words are cut into segments where lines or sentences end, before capitals, and
-before the word of least hash of every CUT_WINDOW words in a row. So a passage is cut
-alike wherever it stands, even in the middle of a line, and at least once in CUT_WINDOW
-words. A unit is the shortest row of words that has UNIT_WORDS of them and lies between
-two cuts: up to each least hash, from another one, so no layout moves it; from each cut
-by layout to any; up to each end of a line or sentence from any. Digests of units are
-grouped globally. A
-unit is *repeated* where it isn't the earliest by document and place. What repeated
-units cover goes wherever that is ``min_words`` long and more, with its offsets in the
-original text kept; shorter runs (a greeting, a common phrase) stay.
-
-Of a repeated passage at most 2 * CUT_WINDOW - 2 words at its beginning and CUT_WINDOW at
-its end are not covered, so none of ``min_words`` + 3 * CUT_WINDOW - 2 words (48) and more
-is missed.
+Units are lines, and word windows inside lines. Words are runs of other than white space,
+A-Z in lower case. A line is a unit if it has MIN_WORDS words or MIN_BYTES bytes and more.
+Lines alone find few of the passages that documents share, which mostly stand inside
+longer lines; so a text's words are also cut into segments where lines or sentences end,
+before capitals, and before the word of least hash of every CUT_WINDOW words in a row. A
+passage is thus cut alike wherever it stands, and at least once in CUT_WINDOW words. A
+window is the shortest row of words that has UNIT_WORDS of them and lies between two cuts:
+up to each least hash, from another one, so no layout moves it; from each cut by layout to
+any; up to each end of a line or sentence from any. Digests of units are grouped
+globally. A unit is *repeated* where it isn't the earliest by document and place. What
+repeated units cover goes wherever that is MIN_WORDS words or MIN_BYTES bytes long and
+more, with its offsets in the original text kept; shorter runs (a greeting, a common
+phrase) stay.
+
+Of a repeated passage inside a line at most 2 * CUT_WINDOW - 2 words at its beginning and
+CUT_WINDOW at its end are not covered, so none of MIN_WORDS + 3 * CUT_WINDOW - 2 words
+(48) and more is missed; a repeated line of MIN_WORDS words or MIN_BYTES bytes never is.
 """
 
 from __future__ import annotations
@@ -27,12 +30,11 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import NULL_ID, keyed_texts, numbered, pick, position, public_id, row_keys, with_lengths
 
-MIN_WORDS, UNIT_WORDS = 32, 8
+MIN_WORDS, MIN_BYTES, UNIT_WORDS = 32, 256, 8
 #: Of so many words in a row, the one of least hash begins a segment. At most UNIT_WORDS, so that units leave no gaps.
 CUT_WINDOW = 6
 #: Texts are hashed together in chunks of about so many bytes.
 CHUNK_BYTES = 1 << 18
-_UNITS = "doc long, rk long, unit long"
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -43,7 +45,8 @@ class Units:
     prefix sums, so nothing is done word by word.
     """
 
-    def __init__(self):
+    def __init__(self, min_words: int = MIN_WORDS):
+        self.min_words = min_words
         self._powers = np.ones(1, np.uint64)
         self._inverses = np.ones(1, np.uint64)
 
@@ -106,6 +109,10 @@ class Units:
             a, b = least[before[before >= 0]], least[before >= 0]
             inside = text[a] == text[b]
             pairs.append((a[inside], b[inside]))
+        begins = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        ends = np.append(begins[1:], n)
+        large = (ends - begins >= self.min_words) | (stops[ends - 1] - starts[begins] >= MIN_BYTES)
+        pairs.append((begins[large], ends[large]))
         # in order of place: of equal units in a text, the first is the earliest
         both = np.unique(np.concatenate([(a << 32) | b for a, b in pairs]))
         first, ends = both >> 32, both & 0xFFFFFFFF
@@ -139,27 +146,31 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield start, held
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(keys: list[str], min_words: int):
     """One row for each distinct unit of a document: its digest, and in the last bit whether the document has it again."""
-    units = Units()
-    for batch in batches:
-        doc, rk = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "rk"))
-        for start, texts in _chunks(batch.column("text")):
-            h, _, _, of, _, _ = units(texts)
-            order = np.lexsort((h, of))
-            h, of = h[order], of[order]
-            same = np.zeros(len(h) + 1, bool)
-            same[1:-1] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
-            kept = ~same[:-1]
-            of = of[kept] + start
-            unit = (h[kept] & ~1) | same[1:][kept]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[of], pa.int64()), pa.array(rk[of], pa.int64()), pa.array(unit, pa.int64())], ["doc", "rk", "unit"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(min_words)
+        for batch in batches:
+            names = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            for start, texts in _chunks(batch.column("text")):
+                h, _, _, of, _, _ = units(texts)
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                same = np.zeros(len(h) + 1, bool)
+                same[1:-1] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
+                kept = ~same[:-1]
+                of = of[kept] + start
+                unit = (h[kept] & ~1) | same[1:][kept]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[of], pa.int64()) for x in names], pa.array(unit, pa.int64())], [*keys, "unit"])
+
+    return run
 
 
 def repeated_spans(text: str, repeated: np.ndarray, min_words: int, units: Units | None = None) -> list[tuple[int, int]]:
     """Offsets of what to remove: words covered by units repeated from elsewhere or from earlier in this text."""
     data = text.encode()
-    digests, first, ends, _, starts, stops = (units or Units())([data])
+    digests, first, ends, _, starts, stops = (units or Units(min_words))([data])
     if not len(digests):
         return []
     again = np.ones(len(digests), bool)
@@ -175,7 +186,7 @@ def repeated_spans(text: str, repeated: np.ndarray, min_words: int, units: Units
     edges = np.flatnonzero(covered[1:] != covered[:-1])
     out, at, chars = [], 0, 0
     for a, b in edges.reshape(-1, 2).tolist():
-        if b - a < min_words:
+        if b - a < min_words and stops[b - 1] - starts[a] < MIN_BYTES:
             continue
         span = []
         for place in (int(starts[a]), int(stops[b - 1])):  # bytes to code points
@@ -198,26 +209,28 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[a:]])
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, rk, repeated array<long>): digests of units that an earlier document holds.
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """(digests of units that an earlier document holds, the columns that name a document).
 
-    Only documents with such units, or with units that they hold twice, have a row.
-    Documents rank by id, null first, then by content. The earliest holder of a digest
-    comes from partial aggregates; only digests with two holders join back, and that
-    join's hot keys can be split.
+    The first has those columns and ``repeated`` array<long>, a row for each document with
+    such units or with units that it holds twice. Documents rank by id, null first, then by
+    content; ``doc`` names one where no two rows share an id, else ``doc`` and ``rk`` do. The
+    earliest holder of a digest comes from partial aggregates; only digests with two
+    holders join back, and that join's hot keys can be split.
     """
-    units = keyed_texts(docs, id_col, text_col).mapInArrow(_units, _UNITS)
+    ids = pick(docs, doc=id_col).select(F.coalesce(F.col("doc").cast("long"), F.lit(NULL_ID)).alias("doc"))
+    shared = ids.groupBy("doc").count().where("count > 1").select("doc")
+    keys = ["doc"] if shared.isEmpty() else ["doc", "rk"]
+    units = keyed_texts(docs, id_col, text_col).select(*keys, "text").mapInArrow(_units(keys, min_words), "".join(f"{k} long, " for k in keys) + "unit long")
     key, again = F.col("unit").bitwiseAND(F.lit(-2)), F.col("unit").bitwiseAND(F.lit(1))
     first = units.groupBy(key.alias("h")).agg(F.min("doc").alias("f"), F.sum(again + 1).alias("n")).where("n > 1").select("h", "f")
     met = units.join(first, key == F.col("h")).where((F.col("doc") > F.col("f")) | (again == 1))
-    later = met.select("doc", "rk", F.when(F.col("doc") > F.col("f"), F.col("h")).alias("h"))
-    # where rows share an id, the least of them by content is the first
-    shared = pick(docs, doc=id_col).select(F.coalesce(F.col("doc").cast("long"), F.lit(NULL_ID)).alias("doc")).groupBy("doc").count().where("count > 1").select("doc")
-    if not shared.isEmpty():
+    later = met.select(*keys, F.when(F.col("doc") > F.col("f"), F.col("h")).alias("h"))
+    if "rk" in keys:  # where rows share an id, the least of them by content is the first
         tied = units.join(shared, "doc", "left_semi").select("doc", "rk", key.alias("h"))
         least = tied.groupBy("doc", "h").agg(F.min("rk").alias("least"), F.max("rk").alias("most")).where("least < most").select("doc", "h", "least")
         later = later.unionByName(tied.join(least, ["doc", "h"]).where("rk <> least").select("doc", "rk", "h"))
-    return later.groupBy("doc", "rk").agg(F.collect_set("h").alias("repeated"))
+    return later.groupBy(*keys).agg(F.collect_set("h").alias("repeated")), keys
 
 
 def _known(rep: pa.ListScalar) -> np.ndarray:
@@ -227,13 +240,16 @@ def _known(rep: pa.ListScalar) -> np.ndarray:
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, removed array<struct<start, end>>, n_removed): every row without its repeated passages.
 
-    Offsets are code points of the original text. Rows that are exact repeats (same id
-    and text) are treated alike. Null texts count as empty; an empty table gives no rows.
+    Offsets are code points of the original text. Of rows that share an id, the least by
+    content comes first; exact repeats (same id and text) are treated alike; a null id
+    ranks before all others. Null texts count as empty. Long texts are hashed one at a
+    time, in some ten times their memory. Other columns, whatever their names, are
+    ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        units = Units()
+        units = Units(min_words)
         for batch in batches:
             texts, removed = [], []
             for t, rep in zip(batch.column("text"), batch.column("repeated"), strict=True):
@@ -247,7 +263,8 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
             )
 
     rows = keyed_texts(docs, id_col, text_col)
-    marked = rows.join(repeated_units(docs, id_col, text_col).hint("shuffle_hash"), ["doc", "rk"], "left").select("doc", "text", "repeated")
+    found, keys = repeated_units(docs, min_words, id_col, text_col)
+    marked = rows.join(found.hint("shuffle_hash"), keys, "left").select("doc", "text", "repeated")
     out = marked.mapInArrow(run, "doc long, text string, removed array<struct<start: long, end: long>>, n_removed long")
     return out.select(public_id("doc").alias("doc_id"), "text", "removed", "n_removed")
 
@@ -255,17 +272,19 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
 def with_passages_removed(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` with all their columns, repeated passages cut out and lengths adjusted.
 
-    A null text stays null. Rows that lose nothing come back as they were.
+    A null text stays null. Rows that lose nothing come back as they were. For other
+    cases see substring_dedup().
     """
     at, id_at = position(docs, text_col), position(docs, id_col)
-    seen = repeated_units(docs, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("rk").alias("_rk"), F.col("repeated").alias("_repeated"))
+    found, keys = repeated_units(docs, min_words, id_col, text_col)
+    seen = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("repeated").alias("_repeated"))
     rows = numbered(docs)
     names = rows.columns
     keyed = row_keys(rows, F.col(f"c{id_at}"), F.col(f"c{at}"))
-    marked = keyed.join(seen.hint("shuffle_hash"), ["_doc", "_rk"], "left").select(*names, "_repeated")
+    marked = keyed.join(seen.hint("shuffle_hash"), [f"_{k}" for k in keys], "left").select(*names, "_repeated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units()
+        units = Units(min_words)
         for batch in batches:
             texts = []
             for t, rep in zip(batch.column(f"c{at}"), batch.column("_repeated"), strict=True):

@@ -147,7 +147,7 @@ def brute_passages(rows, min_words):
         _, first, ends, _, starts, stops = units([text.encode()])
         assert [text.encode()[a:b].lower() for a, b in zip(starts, stops, strict=True)] == words
         for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-            assert b - a >= substring_dedup.UNIT_WORDS
+            assert b - a >= substring_dedup.UNIT_WORDS or places[b - 1][1] - places[a][0] >= substring_dedup.MIN_BYTES // 4
             key = tuple(words[a:b])
             if key in seen or key in here:
                 covered[a:b] = [True] * (b - a)
@@ -158,7 +158,7 @@ def brute_passages(rows, min_words):
             if c and a is None:
                 a = x
             if not c and a is not None:
-                if x - a >= min_words:
+                if x - a >= min_words or len(text[places[a][0] : places[x - 1][1]].encode()) >= substring_dedup.MIN_BYTES:
                     spans.append((places[a][0], places[x - 1][1]))
                 a = None
         out[rows[k][0]] = spans
@@ -173,6 +173,26 @@ def test_units_do_not_depend_on_the_texts_beside_them():
         assert alone[0].tolist() == together[0][together[3] == k].tolist()
 
 
+def test_repeated_lines_go_whatever_surrounds_them(spark):
+    """Lines found by their normalised text alone, without Units; in scripts without spaces too."""
+    rng = random.Random(22)
+    lines = [prose(50_000 + k, 32 + k % 9, per_line=10**6) for k in range(30)] + ["日本語の文章" * (16 + k) + str(k) for k in range(10)]
+    short = [prose(51_000 + k, 12, per_line=10**6) for k in range(5)]
+    rows = []
+    for k in range(60):
+        text = []
+        for n, line in enumerate(rng.sample(lines, 4) + rng.sample(short, 2)):
+            text += [rng.choice(["", "  "]) + (line.upper() if rng.random() < 0.3 else line), prose(52_000 + 100 * k + n, 14, 10**6)]
+        rows.append((k, "\n".join(text)))
+    seen, want = set(), {}
+    for k, text in rows:
+        keyed = [(line.strip(), " ".join(line.lower().split())) for line in text.split("\n")]
+        want[k] = [line for line, key in keyed if not (key in seen and (len(key.split()) >= 32 or len(key.encode()) >= 256))]
+        seen |= {key for _, key in keyed}
+    for r in substring_dedup.substring_dedup(documents(spark, rows)).collect():
+        assert [line.strip() for line in r["text"].split("\n") if line.strip()] == want[r["doc_id"]], r["doc_id"]
+
+
 def test_passages_in_the_middle_of_lines(spark):
     """A passage of 60 words without any mark of where it begins goes from all but the first document."""
     passage = prose(7000, 60, per_line=10**6)
