@@ -1,9 +1,12 @@
 """WARC archives and toxicity."""
 
+import gzip
 import hashlib
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import toxicity, warc
@@ -49,6 +52,47 @@ def test_payloads_come_back(spark, tmp_path):
     assert rows_of(warc.read_archives(spark, twice), *columns) == rows_of(warc.read_archives(spark, path), *columns)
 
 
+def test_files_are_cut_by_bytes_and_each_record_is_a_member(spark, tmp_path):
+    rows = [(k, f"u{k}", prose(k, 2000)) for k in range(40)] + [(100, "big", "0123456789abcdef" * (1 << 20) + "end"), (101, "none", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/cut"
+    records = warc.keyed_pages(frame).withColumn("refers_to", F.lit(None).cast("long"))
+    warc.write_archives(records, path, file_bytes=20_000, date="2001-02-03T04:05:06Z")
+    files = sorted(p for p in (tmp_path / "cut").iterdir() if p.name.startswith("part-"))
+    assert len(files) > 5
+    found = {}
+    for p in files:
+        data = p.read_bytes()
+        assert len(data) < 200_000 and data[-1] == 0
+        plain = gzip.decompress(data)
+        for f, payload in warc.parse_archive(warc.portions(data)):
+            assert f["WARC-Date"] == "2001-02-03T04:05:06Z"
+            found[int(f["WARC-Record-ID"][10:-1])] = payload
+        assert list(warc.parse_archive(warc.portions(plain, 10_000))) == list(warc.parse_archive(warc.portions(data, 100_000)))
+    assert found == {i: (h or "").encode() for i, _, h in rows}
+    back = warc.read_archives(spark, path).collect()
+    assert {r["page"]: bytes(r["payload"]) for r in back} == found
+
+
+def test_payloads_that_are_no_text(spark, tmp_path):
+    data = bytes(range(256)) * 8
+    frame = spark.createDataFrame([(k, "u", bytearray(data)) for k in (1, 2)], "page_id long, url string, html binary")
+    warc.archive_pages(frame, f"{tmp_path}/one")
+    warc.deduplicate_archives(spark, f"{tmp_path}/one", f"{tmp_path}/two")
+    got = rows_of(warc.read_archives(spark, f"{tmp_path}/two"), "page", "record_type", "payload", "refers_to")
+    assert got == [(1, "revisit", bytearray(), 2), (2, "response", bytearray(data), None)]
+
+
+def test_broken_archives_raise():
+    good = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [p for _, p in warc.parse_archive([good[:9], good[9:] + good])] == [b"abc", b"abc"]
+    for bad in (good[:-1], b"HTTP/1.1\r\n\r\n", good + b"WARC/1.1\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse_archive([bad]))
+    with pytest.raises(ValueError):
+        list(warc.portions(warc.member(good)[:20]))
+
+
 def corpus(spark):
     bad = ["scumbag", "vermin", "trashfire", "worthless"]
     rows, labels = [], []
@@ -107,7 +151,7 @@ def test_revisits_without_their_response_stay(spark, tmp_path):
     html = "<p>" + "the same page " * 200
     warc.archive_pages(spark.createDataFrame([(k, f"http://a/{k}", html) for k in (1, 2, 3)], "page_id long, url string, html string"), whole)
     columns = ("page", "url", "record_type", "payload_digest", "payload_bytes", "refers_to")
-    orphans = warc.read_archives(spark, whole).where("record_type = 'revisit'").withColumn("payload", F.col("payload").cast("string"))
+    orphans = warc.read_archives(spark, whole).where("record_type = 'revisit'")
     warc.write_archives(orphans, part)
     warc.deduplicate_archives(spark, part, again)
     got = rows_of(warc.read_archives(spark, again), *columns)
