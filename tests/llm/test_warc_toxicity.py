@@ -128,6 +128,55 @@ def test_held_out_labels_are_never_learned_from(spark):
     assert toxicity.learn(docs, labels) == toxicity.learn(docs, flipped)
 
 
+def test_the_label_model_finds_planted_accuracies_and_correlations():
+    rng, n = np.random.default_rng(4), 6000
+    truth = (rng.random(n) < 0.2).astype(int)
+    columns, accuracies = [], []
+    for k in range(14):
+        right, speaks = 0.62 + 0.025 * k, 0.3 + 0.04 * k
+        vote = np.where(rng.random(n) < right, truth, 1 - truth)
+        columns.append(np.where(rng.random(n) < speaks, vote, -1))
+        accuracies.append(right)
+    for k in (2, 7):  # these mostly repeat what another says
+        columns.append(np.where(rng.random(n) < 0.85, columns[k], np.where(rng.random(n) < 0.5, -1, 1 - truth)))
+    found = toxicity.label_model(np.stack(columns, axis=1), 0.3)
+    assert abs(found.prior - 0.2) < 0.05
+    assert np.abs(found.accuracies[:14] - accuracies).max() < 0.08
+    strongest = sorted(found.correlated, key=lambda p: -abs(p[2]))[:2]
+    assert {tuple(p[:2]) for p in strongest} == {(2, 14), (7, 15)}
+    wrong = np.mean((found.posterior >= 0.5) != truth)
+    votes = np.stack(columns, axis=1)
+    majority = np.mean(((votes == 1).sum(axis=1) > (votes == 0).sum(axis=1)) != truth)
+    assert wrong < 0.06 and wrong < majority
+    assert toxicity.label_model(np.zeros((0, 3), int), 0.5).posterior.shape == (0,)
+
+
+def test_labels_enter_only_through_the_choice_of_terms(spark, monkeypatch):
+    """The classifier's targets are posteriors: a document's own label doesn't change them."""
+    _, docs, labels = corpus(spark)
+    seen = []
+    real = toxicity.train_linear
+    monkeypatch.setattr(toxicity, "train_linear", lambda x, target, **more: seen.append(target) or real(x, target, **more))
+    toxicity.learn(docs, labels)
+    toxicity.learn(docs, labels.withColumn("toxic", F.when(F.col("doc_id") == 5, 0).otherwise(F.col("toxic"))))
+    assert len(seen[0]) > 300 and np.abs(seen[0] - seen[1]).max() < 0.05 and ((seen[0] > 0.02) & (seen[0] < 0.98)).mean() < 0.2
+
+
+def test_bounded_samples(spark):
+    """Bounds hold whatever repeats: ids, rows, all of a table."""
+    rows = [(1, "same text of many")] * 300 + [(2, f"other {k}") for k in range(300)] + [(k, f"text {k}") for k in range(10, 700)]
+    docs = documents(spark, rows, 4)
+    got = toxicity.training_sample(docs, 50).collect()
+    assert len(got) == 50 == len({r["rk"] for r in got})
+    again = toxicity.training_sample(documents(spark, rows[::-1], 2), 50).collect()
+    assert {r["rk"] for r in got} == {r["rk"] for r in again}
+    labels = spark.createDataFrame([(k, k % 3 == 0) for k in range(1, 700)], "doc_id long, t boolean").selectExpr("doc_id", "CAST(t AS int) AS toxic")
+    marked = toxicity.marked_rows(labels)
+    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    held = toxicity.labelled_sample(docs, marked, sizes, 40).groupBy("toxic").count().collect()
+    assert all(r["count"] <= 40 for r in held) and len(held) == 2
+
+
 def test_without_toxic_keeps_rows_whole(spark):
     rows, docs, labels = corpus(spark)
     kept = toxicity.without_toxic(docs, toxicity.learn(docs, labels))
