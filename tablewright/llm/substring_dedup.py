@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import NULL_ID, keyed_texts, numbered, pick, position, public_id, row_keys, with_lengths
+from tablewright.llm.common import NULL_ID, keyed_texts, materialize, numbered, pick, position, public_id, row_keys, with_lengths
 
 MIN_WORDS, MIN_BYTES, UNIT_WORDS = 32, 256, 8
 #: Of so many words in a row, the one of least hash begins a segment. At most UNIT_WORDS, so that units leave no gaps.
@@ -36,6 +36,8 @@ CUT_WINDOW = 6
 #: Texts are hashed together in chunks of about so many bytes.
 CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
+#: Stands for no document where a digest's salted rows are announced; after all others.
+_NOBODY = 2**63 - 1
 
 
 class Units:
@@ -146,11 +148,43 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield start, held
 
 
+class _Often:
+    """Which digests a task meets often: counted by slots of their bits, so that some others may seem to be."""
+
+    SLOTS, LEAST, SALTS = 1 << 20, 64, 255
+
+    def __init__(self):
+        self.counts = np.zeros(self.SLOTS, np.int32)
+        self.total = 0
+        self.told: set[int] = set()
+
+    def salts(self, h: np.ndarray, names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(a salt for each row, 0 unless its digest is frequent; frequent digests not told of before)."""
+        slots = (h >> 1) & (self.SLOTS - 1)
+        self.counts += np.bincount(slots, minlength=self.SLOTS).astype(np.int32)
+        self.total += len(h)
+        often = self.counts[slots] >= max(self.LEAST, 16 * self.total // self.SLOTS)
+        salts = np.zeros(len(h), np.int32)
+        if not often.any():
+            return salts, h[:0]
+        mixed = np.zeros(often.sum(), np.uint64)
+        for x in names:
+            mixed = (mixed ^ x[often].view(np.uint64)) * np.uint64(_BASE)
+        salts[often] = 1 + ((mixed >> np.uint64(40)) % np.uint64(self.SALTS)).astype(np.int32)
+        new = [d for d in np.unique(h[often]).tolist() if d not in self.told]
+        self.told.update(new)
+        return salts, np.array(new, np.int64)
+
+
 def _units(keys: list[str], min_words: int):
-    """One row for each distinct unit of a document: its digest, and in the last bit whether the document has it again."""
+    """One row for each distinct unit of a document: its digest, and in the last bit whether the document has it again.
+
+    Rows of a digest that a task meets often are salted; a row without a document tells so
+    those of that digest without a salt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(min_words)
+        units, often = Units(min_words), _Often()
         for batch in batches:
             names = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
             for start, texts in _chunks(batch.column("text")):
@@ -160,9 +194,62 @@ def _units(keys: list[str], min_words: int):
                 same = np.zeros(len(h) + 1, bool)
                 same[1:-1] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
                 kept = ~same[:-1]
-                of = of[kept] + start
-                unit = (h[kept] & ~1) | same[1:][kept]
-                yield pa.RecordBatch.from_arrays([*[pa.array(x[of], pa.int64()) for x in names], pa.array(unit, pa.int64())], [*keys, "unit"])
+                again = same[1:][kept]
+                h, held = h[kept], [x[of[kept] + start] for x in names]
+                salts, told = often.salts(h, held)
+                held = [np.concatenate([x, np.full(len(told), _NOBODY)]) for x in held]
+                unit, salts = np.concatenate([h | again, told]), np.concatenate([salts, np.zeros(len(told), np.int32)])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in held], pa.array(unit, pa.int64()), pa.array(salts, pa.int32())], [*keys, "unit", "salt"])
+
+    return run
+
+
+def _later(keys: list[str]):
+    """(keys, h, open): rows of a digest after its first document's, from a stream sorted by digest, salt and document.
+
+    Of salted digests each salt's first document is open: another salt may hold an earlier
+    one. Documents that have a unit twice are told with a null digest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[int] | None = None  # digest, salt and document that began the last group
+        last: list[int] | None = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            unit, salt, *names = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("unit", "salt", *keys))
+            h, again = unit & ~1, (unit & 1).astype(bool)
+            # the last group's first row and the last row go before the batch
+            columns = [np.concatenate([[f, x], c]) for f, x, c in zip(first or [0] * (2 + len(keys)), last or [0] * (2 + len(keys)), (h, salt, *names), strict=True)]
+            h, salt, *names = columns
+            fresh = np.ones(n + 2, bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
+            fresh[1] = False
+            if first is None:
+                fresh[2] = True
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(n + 2), 0))
+            own = np.zeros(n + 2, bool)  # rows of the group's first document
+            own[:] = True
+            repeat = np.ones(n + 2, bool)
+            for x in names:
+                own &= x == x[begin]
+                repeat[1:] &= x[1:] == x[:-1]
+            repeat[0] = False
+            repeat &= ~fresh
+            nobody = names[0] == _NOBODY
+            later, opened = ~own & ~repeat & ~nobody, fresh & (salt > 0)
+            told = nobody & ~own & ~repeat  # then the first document of the rows without a salt is open as well
+            twice = np.zeros(n + 2, bool)
+            twice[2:] = again
+            twice &= own & ~nobody
+            at = [np.flatnonzero(m[2:]) + 2 for m in (later, opened, told, twice)]
+            rows = np.concatenate([at[0], at[1], begin[at[2]], at[3]])
+            kind = np.repeat([False, True, True, False], [len(x) for x in at])
+            null = np.repeat([False, False, False, True], [len(x) for x in at])
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[rows], pa.int64()) for x in names], pa.array(h[rows], pa.int64(), mask=null), pa.array(kind, pa.bool_())], [*keys, "h", "open"])
+            first, last = [int(c[begin[-1]]) for c in columns], [int(c[-1]) for c in columns]
 
     return run
 
@@ -214,23 +301,22 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
     The first has those columns and ``repeated`` array<long>, a row for each document with
     such units or with units that it holds twice. Documents rank by id, null first, then by
-    content; ``doc`` names one where no two rows share an id, else ``doc`` and ``rk`` do. The
-    earliest holder of a digest comes from partial aggregates; only digests with two
-    holders join back, and that join's hot keys can be split.
+    content; ``doc`` names one where no two rows share an id, else ``doc`` and ``rk`` do.
+    Texts are hashed once; digests are shuffled once and sorted, and one pass tells all
+    rows after the first of each. Frequent digests are salted where they come from, so no
+    task gathers all rows of one.
     """
     ids = pick(docs, doc=id_col).select(F.coalesce(F.col("doc").cast("long"), F.lit(NULL_ID)).alias("doc"))
-    shared = ids.groupBy("doc").count().where("count > 1").select("doc")
-    keys = ["doc"] if shared.isEmpty() else ["doc", "rk"]
-    units = keyed_texts(docs, id_col, text_col).select(*keys, "text").mapInArrow(_units(keys, min_words), "".join(f"{k} long, " for k in keys) + "unit long")
-    key, again = F.col("unit").bitwiseAND(F.lit(-2)), F.col("unit").bitwiseAND(F.lit(1))
-    first = units.groupBy(key.alias("h")).agg(F.min("doc").alias("f"), F.sum(again + 1).alias("n")).where("n > 1").select("h", "f")
-    met = units.join(first, key == F.col("h")).where((F.col("doc") > F.col("f")) | (again == 1))
-    later = met.select(*keys, F.when(F.col("doc") > F.col("f"), F.col("h")).alias("h"))
-    if "rk" in keys:  # where rows share an id, the least of them by content is the first
-        tied = units.join(shared, "doc", "left_semi").select("doc", "rk", key.alias("h"))
-        least = tied.groupBy("doc", "h").agg(F.min("rk").alias("least"), F.max("rk").alias("most")).where("least < most").select("doc", "h", "least")
-        later = later.unionByName(tied.join(least, ["doc", "h"]).where("rk <> least").select("doc", "rk", "h"))
-    return later.groupBy(*keys).agg(F.collect_set("h").alias("repeated")), keys
+    keys = ["doc"] if ids.groupBy("doc").count().where("count > 1").isEmpty() else ["doc", "rk"]
+    named = "".join(f"{k} long, " for k in keys)
+    units = keyed_texts(docs, id_col, text_col).select(*keys, "text").mapInArrow(_units(keys, min_words), named + "unit long, salt int")
+    h = F.col("unit").bitwiseAND(F.lit(-2))
+    sorted_units = units.repartition(h, "salt").sortWithinPartitions(h, "salt", *keys)
+    seen = materialize(sorted_units.mapInArrow(_later(keys), named + "h long, open boolean"), "later-units")
+    opened = seen.where("open").drop("open")
+    least = opened.groupBy("h").agg(F.min(F.struct(*keys)).alias("least"))
+    late = opened.join(least, "h").where(F.struct(*keys) != F.col("least")).select(*keys, "h")
+    return seen.where("not open").select(*keys, "h").unionByName(late).groupBy(*keys).agg(F.collect_set("h").alias("repeated")), keys
 
 
 def _known(rep: pa.ListScalar) -> np.ndarray:

@@ -193,6 +193,22 @@ def test_repeated_lines_go_whatever_surrounds_them(spark):
         assert [line.strip() for line in r["text"].split("\n") if line.strip()] == want[r["doc_id"]], r["doc_id"]
 
 
+def test_frequent_digests_are_salted(spark, monkeypatch):
+    """A passage that a third of all rows hold, met often by some tasks and by others not."""
+    monkeypatch.setattr(substring_dedup._Often, "LEAST", 5)
+    passage = prose(7200, 70, per_line=10**6)
+    for shared in (False, True):
+        rows = [(k if not shared else k // 3, f"{prose(60_000 + k, 20, 10**6)}\n{passage if k % 3 == 0 else prose(61_000 + k, 40, 10**6)}\n{prose(62_000 + k, 25, 10**6)}") for k in range(300)]
+        rows += [(None, passage)] * 3
+        random.Random(1).shuffle(rows)
+        out = substring_dedup.substring_dedup(documents(spark, rows, 5)).collect()
+        holders = [r for r in out if passage in r["text"]]
+        assert len(out) == 303 and len(holders) == 3 and all(r["doc_id"] is None for r in holders)
+        assert sum(len(r["removed"]) for r in out) == 100
+        seen = substring_dedup.repeated_units(documents(spark, rows[::-1], 2))[0].collect()
+        assert len(seen) == 100
+
+
 def test_passages_in_the_middle_of_lines(spark):
     """A passage of 60 words without any mark of where it begins goes from all but the first document."""
     passage = prose(7000, 60, per_line=10**6)
