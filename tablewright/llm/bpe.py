@@ -131,7 +131,13 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each text, decodes the ids, keeps digests only."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each text, decodes the ids, keeps digests only.
+
+    Null and empty texts have no tokens. A long text is encoded in halves; one without any
+    stable edge is encoded anew at each level above its leaves, in time of the text's
+    length times their number. Repeated rows and null ids keep their own rows; other
+    columns, whatever their names, are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)

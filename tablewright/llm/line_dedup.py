@@ -191,7 +191,13 @@ def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped): every row, with the lines that stay joined by a line feed."""
+    """(doc_id, text, n_lines, n_dropped): every row, with the lines that stay joined by a line feed.
+
+    Null and empty texts are one empty line. Texts of many lines and lines of any length
+    are whole rows of a task, their hashes rows like others. Repeated rows share one
+    decision; for ties and null ids see keep_bitmaps(). Other columns, whatever their
+    names, are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +212,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def line_digests(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_sha256) of line_dedup()'s texts."""
+    """(doc_id, n_lines, n_dropped, kept_sha256) of line_dedup()'s texts, in all cases as there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

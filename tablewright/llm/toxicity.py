@@ -310,7 +310,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, fit_rows:
             yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array(found, pa.list_(pa.int32())), pa.array(patterns, pa.list_(pa.int32()))], ["rk", "terms", "patterns"])
 
     # at most fit_rows rows of at most TERMS small numbers
-    table = training_sample(docs, fit_rows, id_col).mapInArrow(features, "rk long, terms array<int>, patterns array<int>").orderBy("rk").collect()
+    table = training_sample(docs, fit_rows, id_col).repartition(32, "rk").mapInArrow(features, "rk long, terms array<int>, patterns array<int>").orderBy("rk").collect()
     x = np.zeros((len(table), len(names)), np.float32)
     for k, r in enumerate(table):
         x[k, r["terms"]] = 1

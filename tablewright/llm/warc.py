@@ -233,7 +233,11 @@ def deduplicate_archives(spark: SparkSession, source: str, target: str, min_byte
 
 
 def archived_pages(pages: DataFrame, min_bytes: int = MIN_BYTES, **columns) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of archives written and read back."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of archives written and read back.
+
+    For all cases see archive_pages(). A page of any size is one record, which a task
+    holds whole.
+    """
     spark = pages.sparkSession
     path = folder(spark, "warc")
     archive_pages(pages, path, min_bytes, **columns)

@@ -56,5 +56,12 @@ def test_texts_and_columns(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()} == {i: (got[i][0] or "") for i, _ in rows}
 
 
+def test_long_texts(spark):
+    """Texts of very many lines and very long lines, in rows that repeat whole."""
+    many, wide = "\n".join(long_line(k % 900) for k in range(20_000)), "wide " * 60_000
+    rows = [(k, many) for k in range(4)] + [(9, many), (9, many)] + [(k, f"{wide}\n{k}") for k in range(20, 26)]
+    assert rows_of(line_dedup.line_digests(documents(spark, rows, 3)), *COLUMNS) == brute(rows)
+
+
 def test_empty(spark):
     assert line_dedup.line_digests(documents(spark, [])).collect() == []

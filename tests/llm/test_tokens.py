@@ -53,6 +53,21 @@ def test_round_trip(spark):
     assert bpe.round_trip_digests(documents(spark, []), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_round_trip_of_long_texts(spark):
+    """Very long texts, with and without edges at which the tree can join."""
+    plain = library()
+    rows = [(1, prose(1, 60_000, per_line=30)), (2, "x" * 200_000), (3, "\n" * 90_000), (4, "日本語" * 30_000)]
+    want = [(i, len(ids := plain.encode_ordinary(t)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for i, t in rows]
+    assert rows_of(bpe.round_trip_digests(documents(spark, rows), RANKS, public_tokenizers.PATTERN), "doc_id", "n_tokens", "ids_sha256") == want
+
+
+def test_batches_hold_so_many_bytes():
+    pieces = [(k, "é" * n) for k, n in enumerate((10, 200, 3, 4, 90, 1))]
+    out = list(token_counts.byte_batches(pieces, 100))
+    assert [p for owners, held in out for p in zip(owners, held, strict=True)] == pieces
+    assert all(len(held) == 1 or sum(len(x.encode()) for x in held) <= 100 for _, held in out)
+
+
 def test_counts(spark):
     tok = Tokenizer.from_file(JSON)
     rows, docs = awkward_documents(spark)
