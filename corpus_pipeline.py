@@ -1,7 +1,10 @@
 """A corpus from raw documents to packed sequences, stage by stage.
 
 Every stage takes all that its predecessor kept, written as Parquet and read again,
-and all but the last return the columns of documents.
+and all but the last return the columns of documents: columns of other names are left
+out, missing ones are null. All stages take null ids and texts, empty and very long
+texts, repeated ids and rows, and empty tables, as their docstrings and those of the
+operators say.
 """
 
 from __future__ import annotations
@@ -23,19 +26,32 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject.
+
+    Rows stay as they are, null texts too, which score as empty ones do; repeated texts go
+    or stay alike. Without labels of both classes the model scores all texts alike: all
+    stay, unless every label says toxic.
+    """
     docs = _columns(docs)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that many share."""
+    """Documents without lines that many share; each such line stays in the document with the largest id.
+
+    Every row stays, maybe with an empty text; a null text stays null, and rows that lose
+    nothing are as they were.
+    """
     return line_dedup.with_lines_dropped(_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; all without words."""
+    """One document of each group of near copies, that with the smallest id; all without words.
+
+    A null id is smaller than any other; of rows that share the smallest id, the least by
+    content stays, of exact repeats one. Null, empty and blank texts are nobody's copy.
+    """
     docs = _columns(docs)
     found = minhash_dedup.near_duplicates(docs).select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("_doc"), F.col("rk").alias("_rk"), "root")
     found = common.materialize(found, "near-copies")
@@ -52,12 +68,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that earlier documents hold."""
+    """Documents without passages that earlier documents hold; ids rank them, null first.
+
+    Every row stays, maybe with an empty text; a null text stays null. Of rows that share
+    an id the least by content comes first, exact repeats are treated alike.
+    """
     return substring_dedup.with_passages_removed(_columns(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences for training."""
+    """Pieces of documents in sequences for training. Null and empty texts are one piece of the end id; texts longer than a sequence are several."""
     return packing.pack(_columns(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
