@@ -151,6 +151,13 @@ def load_without_empty_rows(t):
     return run(step("load", {"from": put_lines("s.csv", table(t, "supplier"), "s_suppkey", line, "s_suppkey,s_name\n"), "name": "s"}))["s"]
 
 
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier WHERE s_suppkey < 5 OR s_suppkey = 6")
+def load_until_empty_rows(t):
+    """Reading ends where so many rows in a row are empty."""
+    line = F.when((F.col("s_suppkey") == 5) | F.col("s_suppkey").between(7, 9), ",").otherwise(F.concat_ws(",", "s_suppkey", "s_name"))
+    return run(step("load", {"from": put_lines("e.csv", table(t, "supplier"), "s_suppkey", line, "s_suppkey,s_name\n"), "name": "e", "stop_after_empty_rows": 3}))["e"]
+
+
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS \"id key\", s_name || chr(10) || 'next' AS \"name\" FROM supplier")
 def load_quoted_lines(t):
     """Cells that hold line feeds, and a header of two rows in another file."""

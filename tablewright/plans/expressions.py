@@ -295,7 +295,8 @@ def math_column(node: Node, scope: Scope) -> Column:
 
     Products keep all their digits where the operands' types leave room for them, and 18
     decimals otherwise, as quotients and powers by whole numbers do; powers by others are
-    doubles. Null in, null out; division by zero and numbers of 10^19 and more raise errors.
+    doubles. Null in, null out; division by zero and numbers of 10^19 and more (of 10^16
+    and more, times a constant of up to three digits) raise errors.
     """
     col, kind = _math_column(node, scope)
     if isinstance(kind, (T.DoubleType, T.FloatType)) and not _doubles(node, scope):
@@ -339,6 +340,8 @@ def _exact(op: str, a: Column, ka: T.DecimalType, b: Column, kb: T.DecimalType,
     if op == "*":
         return _product(a, ka, b, kb)
     if op == "/":
+        if ka.precision - ka.scale + kb.scale <= 20:  # then Spark's own quotient has 18 decimals
+            return (a / b).cast(_RESULT), _RESULT
         return _quotient(a.cast(_RESULT), b.cast(_RESULT)), _RESULT
     n = right.value if right.kind == "number" else None
     if n is None or n != n.to_integral_value() or abs(n) > MOST_FACTORS:
@@ -354,6 +357,9 @@ def _product(a: Column, ka: T.DecimalType, b: Column, kb: T.DecimalType) -> tupl
     if ka.precision + kb.precision + 1 <= 38:
         kind = T.DecimalType(ka.precision + kb.precision + 1, ka.scale + kb.scale)
         return (a * b).cast(kind), kind
+    for x, kx, y, ky in ((a, ka, b, kb), (b, kb, a, ka)):
+        if ky.precision <= 3 and kx.precision > 35:  # a few digits leave the other side 16 before the point
+            return (x.cast(T.DecimalType(37 - ky.precision, 18)) * y).cast(_RESULT), _RESULT
     return _wide_product(a.cast(_RESULT), b.cast(_RESULT)), _RESULT
 
 
