@@ -104,6 +104,11 @@ def strptime(text: Column, fmt: str, year: int | None = None) -> tuple[Column, b
     return F.when(text.isNull(), F.lit(None).cast("timestamp_ntz")).when(~text.rlike(pattern), bad).otherwise(made), utc
 
 
+def to_seconds(ts: Column) -> Column:
+    """A timestamp without zone, cut to whole seconds."""
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.second(ts).cast("decimal(8,6)"))
+
+
 def strftime(ts: Column, fmt: str, zone_name: Column | None = None, offset_minutes: Column | None = None) -> Column:
     """Text of a timestamp without zone (or a date)."""
     if "%Z" in fmt or "%z" in fmt:  # a zone's name may come from Python, which no lambda can hold
