@@ -2,10 +2,11 @@
 
 Unit vectors are rotated to their principal axes. Vectors whose cosine reaches the
 threshold are at most sqrt(2 - 2 t) apart, so also on each leading axis: a grid of that
-width over two axes gives tiles, and a tile meets itself and its neighbours only.
+width over two axes gives tiles, and a tile meets itself and its neighbours only; a
+large tile is cut along the third axis as well, and dealt into blocks.
 Within a tile leading dimensions are accumulated first; a pair is given up as soon as
 the product so far plus that of the norms of what is left can't reach the threshold.
-Exact copies are one class with a count. Large tiles are dealt into blocks.
+Exact copies are one class with a count.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from tablewright.llm.minhash_dedup import Forest, group_stream
 THRESHOLD = 0.98
 BLOCK_ROWS = 4096
 STEPS = (8, 24)
+_TILE = ["label", "dims", "c1", "c2"]
+#: A pair of blocks of a tile: the cell on the third axis and the block in it, of each.
+_GROUP = [*_TILE, "si", "i", "sj", "j"]
 _SLACK = 1e-9
 
 
@@ -70,12 +74,12 @@ def _tiles(axes: dict[int, np.ndarray], width: float):
             for label, cls, vec in zip(batch.column("label").to_pylist(), batch.column("cls").to_pylist(), batch.column("vec").to_pylist(), strict=True):
                 x = np.array(vec, float)
                 d = len(x)
-                p = unit(x) @ axes[d][:, : min(2, d)]
-                c = [int(np.floor(v / width)) for v in p] + [0] * (2 - len(p))
-                rows += [(label, d, c[0] + i, c[1] + j, i == j == 0, cls) for i, j in [(0, 0), *around]]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["label", "dims", "c1", "c2", "home", "cls"])
+                p = unit(x) @ axes[d][:, : min(3, d)]
+                c = [int(np.floor(v / width)) for v in p] + [0] * (3 - len(p))
+                rows += [(label, d, c[0] + i, c[1] + j, c[2], i == j == 0, cls) for i, j in [(0, 0), *around]]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["label", "dims", "c1", "c2", "c3", "home", "cls"])
 
     return run
 
@@ -100,9 +104,9 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray, t
 
 def _compare(axes: dict[int, np.ndarray], threshold: float, slice_rows: int = 1024):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in group_stream(batches, ["label", "dims", "c1", "c2", "i", "j"]):
-            cls, copies, home, part = (group.column(c).to_numpy() for c in ("cls", "copies", "home", "part"))
-            lo, hi = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        for group in group_stream(batches, _GROUP):
+            cls, copies, home, cell, part = (group.column(c).to_numpy() for c in ("cls", "copies", "home", "cell", "part"))
+            two = any(group.column(a)[0] != group.column(b)[0] for a, b in (("si", "sj"), ("i", "j")))
             x = scaled(np.array(group.column("vec").to_pylist(), float))
             u = unit(x) @ axes[x.shape[1]]
             links, forest = np.zeros(len(cls), np.int64), Forest(len(cls))
@@ -113,8 +117,8 @@ def _compare(axes: dict[int, np.ndarray], threshold: float, slice_rows: int = 10
                 i, j = linked_pairs(x[rows], x, u[rows], u, threshold)
                 i = rows[i]
                 fit = (home[j] & (cls[i] < cls[j])) | ~home[j]
-                if lo != hi:
-                    fit &= part[i] != part[j]
+                if two:
+                    fit &= (part[i] != part[j]) | (cell[i] != cell[j])
                 i, j = i[fit], j[fit]
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])
@@ -155,17 +159,22 @@ def embedding_duplicates(
     classes = materialize(classes.withColumn("cls", F.xxhash64("label", "vec")), "vector-classes")
     axes = principal_axes(classes)
     width = float(np.sqrt(max(2 - 2 * threshold, 0)) + 1e-6)
-    tiled = classes.select("label", "cls", "vec").mapInArrow(_tiles(axes, width), "label long, dims int, c1 int, c2 int, home boolean, cls long")
-    key = ["label", "dims", "c1", "c2"]
+    tiled = classes.select("label", "cls", "vec").mapInArrow(_tiles(axes, width), "label long, dims int, c1 int, c2 int, c3 int, home boolean, cls long")
+    key, block_of = _TILE, lambda s, p: F.struct(F.col(s).alias("s"), F.col(p).alias("p"))
     tiled = materialize(tiled, "tiles")
     sizes = tiled.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).where("homes > 0 and n > 1")
-    sizes = sizes.select(*key, F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
-    dealt = tiled.join(sizes, key).withColumn("part", F.pmod("cls", "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(*key, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "home", "cls")
-    keyed = dealt.join(classes.select("cls", "copies", "vec"), "cls")
-    order = [*key, "i", "j"]
-    found = keyed.select(*order, "part", "home", "cls", "copies", "vec").repartition(*order).sortWithinPartitions(*order, "cls")
+    # of large tiles, cells more than one apart on the third axis can't reach the threshold
+    placed = tiled.join(sizes.select(*key, (F.col("n") > block_rows).alias("large")), key)
+    placed = placed.withColumn("cell", F.when(F.col("large"), F.col("c3")).otherwise(0)).drop("c3")
+    cells = placed.groupBy(*key, "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    dealt = placed.join(cells, [*key, "cell"]).withColumn("part", F.pmod("cls", "parts").cast("int")).drop("parts")
+    near = F.when(F.col("large"), F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).otherwise(F.array(F.col("cell")))
+    met = dealt.withColumn("other", F.explode(near)).join(cells.withColumnRenamed("cell", "other"), [*key, "other"])
+    met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least(block_of("cell", "part"), block_of("other", "block")), F.greatest(block_of("cell", "part"), block_of("other", "block"))
+    met = met.select(*key, low["s"].alias("si"), low["p"].alias("i"), high["s"].alias("sj"), high["p"].alias("j"), "cell", "part", "home", "cls")
+    keyed = met.join(classes.select("cls", "copies", "vec"), "cls")
+    found = keyed.select(*_GROUP, "cell", "part", "home", "cls", "copies", "vec").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "cls")
     found = materialize(found.mapInArrow(_compare(axes, threshold), "cls long, links long, root long"), "vector-links")
     components = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     direct = found.groupBy("cls").agg(F.sum("links").alias("links"))

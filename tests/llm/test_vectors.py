@@ -58,6 +58,19 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_duplicates(frame.where("vec_id < 0")).collect() == []
 
 
+def test_embeddings_in_large_tiles(spark):
+    """Tiles of many cells and blocks: every pair within reach meets once."""
+    rng, rows = np.random.default_rng(8), []
+    axis = np.eye(6)[0] * 3
+    for k in range(260):  # alike on two axes, spread over a third and the rest
+        rows.append((k, (axis + np.array([0, 0.05, 1.2, 0.15, 0.1, 0.1]) * rng.normal(size=6)).tolist(), 1))
+    rows += [(300 + k, rows[k][1], 1) for k in range(10)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    for block in (1000, 30, 6):
+        got = embedding_dedup.embedding_duplicates(frame, 0.98, block_rows=block)
+        assert rows_of(got, "vec_id", "n_links", "component_id", "kept") == brute(rows, 0.98)
+
+
 def test_embeddings_of_extreme_size(spark):
     """Squares of components would under- or overflow; columns of other names do no harm."""
     rows = [(1, [1e-200, 0.0], 1), (2, [1e200, 1e199], 1), (3, [3.0, 0.3], 1), (4, [5e-324, 0.0], 1), (5, [-1e-200, 0.0], 1), (6, [1.7e308, 1.7e308], 1), (7, [0.0, 1e-300], 1)]
