@@ -55,6 +55,19 @@ def one_blas_thread():
         put(before)
 
 
+#: Scans of many small files are read by tasks of about so many bytes.
+TASK_BYTES = 32 << 20
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """The same rows in fewer partitions where those would be very small; large tables stay as they are.
+
+    What each task writes is a file, and each task starts a Python worker's work anew.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 2**31 - 1))
+
+
 def position(df: DataFrame, name: str) -> int:
     """The column of that name: its exact spelling first, then any other case."""
     names = df.columns

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import keyed_texts, materialize, numbered, position, public_id, row_keys, with_lengths
+from tablewright.llm.common import gathered, keyed_texts, materialize, numbered, position, public_id, row_keys, with_lengths
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -161,7 +161,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a null id counts as one document, smaller than all; rows of one id count as one
     document. Null texts are one empty line; an empty table gives no rows.
     """
-    lines = keyed_texts(docs, id_col, text_col).mapInArrow(_hash_lines(min_chars), _LINE)
+    lines = gathered(keyed_texts(docs, id_col, text_col)).mapInArrow(_hash_lines(min_chars), _LINE)
     lines = materialize(lines, "lines")  # ranges are drawn from a sample: texts are read once all the same
     by_range = lines.repartitionByRange("h1", "h2", F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "rk", "pos")
     seen = materialize(by_range.mapInArrow(_stream_runs(min_docs), _SEEN), "runs")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import connected_components, keyed_texts, materialize, public_id
+from tablewright.llm.common import connected_components, gathered, keyed_texts, materialize, public_id
 
 WORDS = 5
 COORDINATES, MATCHES = 48, 28
@@ -320,7 +320,7 @@ def near_duplicates(
     Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     keyed = keyed_texts(docs, id_col, text_col)
-    signed = materialize(keyed.mapInArrow(_sign(words, coordinates), "doc long, rk long, cls long, n_shingles long, sig array<int>"), "signed")
+    signed = materialize(gathered(keyed).mapInArrow(_sign(words, coordinates), "doc long, rk long, cls long, n_shingles long, sig array<int>"), "signed")
     classes = signed.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc", "rk", "n_shingles", "sig")).alias("r")).select("cls", "r.*")
     classes = materialize(classes, "classes")
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import byte_letters, keyed_texts, materialize, public_id
+from tablewright.llm.common import byte_letters, gathered, keyed_texts, materialize, public_id
 
 SEQUENCE, UNIT = 2048, 4
 MAX_COLUMNS = 2_000
@@ -121,7 +121,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, sequence: int
             columns = [doc, start, length, crc, total, cls, nth, [pid] * len(doc)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "start", "length", "ids_crc32", "doc_tokens", "cls", "nth", "pid"])
 
-    rows = keyed_texts(docs, id_col, text_col).select("doc", "text")
+    rows = gathered(keyed_texts(docs, id_col, text_col).select("doc", "text"))
     schema = "doc long, start long, length long, ids_crc32 long, doc_tokens long, cls long, nth long, pid long"
     return materialize(rows.mapInArrow(run, schema), "pieces")
 
