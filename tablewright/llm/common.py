@@ -64,7 +64,7 @@ def gathered(df: DataFrame) -> DataFrame:
 
     What each task writes is a file, and each task starts a Python worker's work anew.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 2**31 - 1))
 
 
