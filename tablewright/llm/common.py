@@ -59,13 +59,19 @@ def one_blas_thread():
 TASK_BYTES = 32 << 20
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """The same rows in fewer partitions where those would be very small; large tables stay as they are.
+def task_count(df: DataFrame) -> int:
+    """Tasks enough for a table of its size, as Spark's plan tells that."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 2**31 - 1)
+
+
+def gathered(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """The same rows in fewer partitions where those would be very small for a table of its size, or of that of ``like``.
 
     What each task writes is a file, and each task starts a Python worker's work anew.
+    Large tables stay as they are.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 2**31 - 1))
+    return df.coalesce(task_count(df if like is None else like))
 
 
 def position(df: DataFrame, name: str) -> int:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import gathered, keyed_texts, materialize, numbered, position, public_id, row_keys, with_lengths
+from tablewright.llm.common import gathered, keyed_texts, materialize, numbered, position, public_id, row_keys, task_count, with_lengths
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -163,7 +163,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     lines = gathered(keyed_texts(docs, id_col, text_col)).mapInArrow(_hash_lines(min_chars), _LINE)
     lines = materialize(lines, "lines")  # ranges are drawn from a sample: texts are read once all the same
-    by_range = lines.repartitionByRange("h1", "h2", F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "rk", "pos")
+    by_range = lines.repartitionByRange(task_count(lines), "h1", "h2", F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "rk", "pos")
     seen = materialize(by_range.mapInArrow(_stream_runs(min_docs), _SEEN), "runs")
     # at most two rows a partition, so this side's size is bounded by the partition count
     edge = seen.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n_lines").alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= min_docs)
@@ -223,7 +223,7 @@ def line_digests(docs: DataFrame, **how) -> DataFrame:
             )
 
     rows = with_bitmaps(docs, **how).select("doc", "text", "keep", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
-    return rows.mapInArrow(run, "doc long, n_lines long, n_dropped long, kept_sha256 string").withColumn("doc_id", public_id("doc")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return gathered(rows, docs).mapInArrow(run, "doc long, n_lines long, n_dropped long, kept_sha256 string").withColumn("doc_id", public_id("doc")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **how) -> DataFrame:
@@ -243,4 +243,4 @@ def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             texts = [t.as_py() if k.as_py() is None else apply_bitmap(t.as_py() or "", k.as_py())[0] for t, k in zip(batch.column(f"c{at}"), batch.column("_keep"), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(n) for k, n in enumerate(names)], names)
 
-    return with_lengths(marked.mapInArrow(run, rows.schema), docs, at, chars_col)
+    return with_lengths(gathered(marked, docs).mapInArrow(run, rows.schema), docs, at, chars_col)
