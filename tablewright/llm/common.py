@@ -55,14 +55,16 @@ def one_blas_thread():
         put(before)
 
 
-#: Scans of many small files are read by tasks of about so many bytes.
-TASK_BYTES = 32 << 20
+#: Bytes of a table, compressed as it lies, for one task: of tables up to FEW_TASKS tasks, and of larger ones.
+TASK_BYTES, LARGE_TASK_BYTES, FEW_TASKS = 4 << 20, 64 << 20, 2000
 
 
 def task_count(df: DataFrame) -> int:
-    """Tasks enough for a table of its size, as Spark's plan tells that."""
+    """Tasks enough for a table of its size, as Spark's plan tells that, and for the cluster's cores."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 2**31 - 1)
+    many = -(-size // TASK_BYTES)
+    many = many if many <= FEW_TASKS else max(FEW_TASKS, -(-size // LARGE_TASK_BYTES))
+    return min(max(df.sparkSession.sparkContext.defaultParallelism, many), 2**31 - 1)
 
 
 def gathered(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
