@@ -67,13 +67,14 @@ def task_count(df: DataFrame) -> int:
     return min(max(df.sparkSession.sparkContext.defaultParallelism, many), 2**31 - 1)
 
 
-def gathered(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
-    """The same rows in fewer partitions where those would be very small for a table of its size, or of that of ``like``.
+def gathered(df: DataFrame) -> DataFrame:
+    """A scan's rows in fewer partitions where those would be very small for a table of its size.
 
     What each task writes is a file, and each task starts a Python worker's work anew.
-    Large tables stay as they are.
+    Large tables stay as they are. Not for joins: a task would hold the hash tables of all
+    partitions that it gathers.
     """
-    return df.coalesce(task_count(df if like is None else like))
+    return df.coalesce(task_count(df))
 
 
 def position(df: DataFrame, name: str) -> int:
