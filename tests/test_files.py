@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright import Flow, StepError, checks, samples, scratch, step
+from tablewright import Flow, StepError, catalog_files, checks, samples, scratch, step
 from tablewright.sources import load as sources
 from tablewright.sinks.dump import unique_lat_lon
 from tablewright.sources.load import infer_widths
@@ -72,6 +72,15 @@ def test_names_and_globs(tmp_path):
         many(**{"from": f"{tmp_path}/*.nope", "input_path_pattern": True})
 
 
+def test_database(spark):
+    rows = [(None, "no key"), (3, None), (4, ""), (None, None), (-7, " a "), (8, "é,'\"\n😀"), (9, '"'), (10, "a\\"), (11, "\r\n"), (12, "\t"), (2**31 - 1, '""')]
+    url = catalog_files.database(spark.createDataFrame(rows, "k int, v string"), "things", '"k" INTEGER, "v" VARCHAR(20)')
+    how = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "partitionColumn": "k", "lowerBound": 0, "upperBound": 12, "numPartitions": 3}
+    df = load(url, format="sql", table="things", jdbc=how)["res"].frame()
+    assert df.dtypes == [("k", "int"), ("v", "string")] and sorted(map(tuple, df.collect()), key=repr) == sorted(rows, key=repr)
+    assert [r["k"] for r in df.where("v = ' a '").collect()] == [-7]
+
+
 def test_overrides_and_missing_values(tmp_path):
     path = put(tmp_path, "a.csv", "a,b\n1,nd\nnd,2\n")
     r = load(path, missing_values=["nd", ""], override_fields={"a": {"title": "A"}}, extract_missing_values=True)["res"]
